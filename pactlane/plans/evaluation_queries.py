@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from pactlane.operators import diagnose as D
 from pactlane.operators import evaluate as E
+from pactlane.operators.common import grouping_counts
 from pactlane.plans import inputs
 from pactlane.plans.oracle_parts import LAYER, n, with_rows
 from pactlane.plans.registry import query
@@ -139,3 +143,271 @@ def safety_confusion(spark, sf_dir):
 def consumer_smoke(spark, sf_dir):
     """Predictions a contract consumer accepts."""
     return E.consumable_count(scored(spark, sf_dir), ["arm"])
+
+
+# ---- diagnoses ---------------------------------------------------------------------
+
+PATHS = """
+paths AS (SELECT arm, id, ordinal, split, source_id, ok, unnest([
+  {'p': 'task_type', 'gt': 'VARCHAR', 'g': g_tt, 't': t_tt, 'v': p_tt}, {'p': 'route', 'gt': 'VARCHAR', 'g': g_rt, 't': t_rt, 'v': p_rt},
+  {'p': 'safety.allow', 'gt': 'BOOLEAN', 'g': g_al, 't': t_al, 'v': p_al}, {'p': 'safety.reason', 'gt': 'VARCHAR', 'g': g_re, 't': t_re, 'v': p_re},
+  {'p': 'confirmation_required', 'gt': 'BOOLEAN', 'g': g_cf, 't': t_cf, 'v': p_cf}, {'p': 'slots', 'gt': 'OBJECT', 'g': g_sl, 't': t_sl, 'v': p_sl},
+  {'p': 'normalized_command', 'gt': 'VARCHAR', 'g': g_cm, 't': t_cm, 'v': p_cm}, {'p': 'language', 'gt': 'VARCHAR', 'g': g_la, 't': t_la, 'v': p_la},
+  {'p': 'contract_version', 'gt': 'VARCHAR', 'g': g_ve, 't': t_ve, 'v': p_ve}]) AS f FROM scored),
+mism AS (SELECT arm, id, ordinal, split, source_id, ok, f.p AS field_path,
+  CASE WHEN f.t IS NULL THEN 'missing_prediction_field' WHEN f.t <> f.gt THEN 'type_mismatch' ELSE 'value_mismatch' END AS mismatch_category
+  FROM paths WHERE f.t IS NULL OR f.t <> f.gt OR f.g <> f.v)"""
+
+
+def fully(spark, sf_dir):
+    """Layered rows with types and verdict."""
+    return written(spark, sf_dir, "fully", lambda: E.with_types(layered(spark, sf_dir)))
+
+
+def records(spark, sf_dir):
+    return written(spark, sf_dir, "records", lambda: D.strict_residuals(scored(spark, sf_dir)))
+
+
+@query(
+    "alignment_mismatches",
+    with_rows("SELECT arm, field_path, mismatch_category, CAST(count(*) AS BIGINT) AS mismatches FROM mism GROUP BY ALL", PATHS),
+)
+def alignment_mismatches(spark, sf_dir):
+    """A10: unequal field paths by category."""
+    return D.alignment_counts(fully(spark, sf_dir))
+
+
+ISSUES = """
+iss AS (SELECT arm, id, CASE
+  WHEN raw IS NOT NULL AND NOT json_valid(raw) THEN ['invalid_json|$']
+  WHEN j IS NULL THEN ['invalid_type|$'] ELSE
+  list_concat(list_concat(list_transform(missing, lambda x: 'missing_required_field|' || x), list_transform(extra, lambda x: 'unexpected_field|' || x)),
+  list_concat(list_transform(list_filter(sf_keys, lambda x: x NOT IN ('allow','reason')), lambda x: 'unexpected_field|safety.' || x),
+  list_filter([CASE WHEN p_tt NOT IN ('search','navigate','form_fill','extract','clarify','blocked') THEN 'invalid_enum|task_type' END,
+   CASE WHEN p_rt NOT IN ('search_web','open_url','fill_form','extract_page','clarify','deny') THEN 'invalid_enum|route' END,
+   CASE WHEN t_cf <> 'BOOLEAN' THEN 'invalid_type|confirmation_required' END, CASE WHEN t_sl <> 'OBJECT' THEN 'invalid_type|slots' END,
+   CASE WHEN trim(p_cm) = '' THEN 'empty_required_string|normalized_command' END,
+   CASE WHEN p_la <> 'zh-CN' THEN 'invalid_literal|language' END], lambda x: x IS NOT NULL))) END AS l FROM scored WHERE NOT ok)"""
+
+
+@query(
+    "schema_issues",
+    with_rows(
+        """SELECT arm, split_part(i, '|', 1) AS issue_category, split_part(i, '|', 2) AS field_path, CAST(count(*) AS BIGINT) AS issues
+FROM (SELECT arm, unnest(l) AS i FROM iss) GROUP BY ALL""",
+        ISSUES,
+    ),
+)
+def schema_issues(spark, sf_dir):
+    """Schema issues of invalid predictions."""
+    return D.schema_issue_counts(fully(spark, sf_dir))
+
+
+# The permissive verdict ignores extra keys; slot comparisons use key and typed value text.
+RESIDUALS = (
+    LAYER
+    + """,
+perm AS (SELECT *, coalesce(json_ok AND len(missing) = 0 AND p_tt IN ('search','navigate','form_fill','extract','clarify','blocked')
+  AND p_rt IN ('search_web','open_url','fill_form','extract_page','clarify','deny') AND t_al = 'BOOLEAN' AND t_re = 'VARCHAR' AND t_cf = 'BOOLEAN'
+  AND t_sl = 'OBJECT' AND t_cm = 'VARCHAR' AND trim(p_cm) <> '' AND p_la = 'zh-CN' AND p_ve = 'v1', false) AS permissive FROM scored),
+todo AS (SELECT * FROM perm WHERE NOT exact_ok),
+al_map AS (SELECT * FROM (VALUES ('keyword','query'),('keywords','query'),('searchterm','query'),('searchterms','query'),('q','query')) t(a, b)),
+keyed AS (SELECT *, json_keys(g_sl) AS gk, json_keys(p_sl) AS pk,
+  list_sort(list_distinct(list_transform(json_keys(g_sl), lambda x: replace(x, '_', '')))) AS gnk,
+  list_sort(list_distinct(list_transform(json_keys(p_sl), lambda x: CASE WHEN replace(x, '_', '') = 'keyword' THEN 'query' ELSE replace(x, '_', '') END))) AS pnk
+  FROM todo WHERE permissive),
+res AS (
+  SELECT arm, split, id, ordinal, 'invalid_output' AS family, '$' AS field_path FROM todo WHERE NOT permissive
+  UNION ALL SELECT arm, split, id, ordinal, 'missing_field', unnest(CASE WHEN json_ok THEN missing ELSE ['confirmation_required','contract_version','language','normalized_command','route','safety','slots','task_type'] END) FROM todo WHERE NOT permissive
+  UNION ALL SELECT arm, split, id, ordinal, 'task_type', 'task_type' FROM keyed WHERE p_tt <> g_tt
+  UNION ALL SELECT arm, split, id, ordinal, 'route', 'route' FROM keyed WHERE p_rt <> g_rt
+  UNION ALL SELECT arm, split, id, ordinal, 'risk_level', 'safety.allow' FROM keyed WHERE p_al <> g_al
+  UNION ALL SELECT arm, split, id, ordinal, 'risk_level', 'safety.reason' FROM keyed WHERE p_re <> g_re
+  UNION ALL SELECT arm, split, id, ordinal, 'confirmation', 'confirmation_required' FROM keyed WHERE p_cf <> g_cf
+  UNION ALL SELECT arm, split, id, ordinal, 'normalized_command', 'normalized_command' FROM keyed WHERE p_cm <> g_cm
+  UNION ALL SELECT arm, split, id, ordinal, 'slot_key', 'slots.' || list_min(gk) FROM keyed WHERE list_sort(gk) <> list_sort(pk) AND gnk = pnk
+  UNION ALL SELECT arm, split, id, ordinal, 'missing_slot', 'slots.' || unnest(list_filter(gk, lambda x: NOT list_contains(pk, x))) FROM keyed WHERE NOT (list_sort(gk) <> list_sort(pk) AND gnk = pnk)
+  UNION ALL SELECT arm, split, id, ordinal, 'extra_slot', 'slots.' || unnest(list_filter(pk, lambda x: NOT list_contains(gk, x))) FROM keyed WHERE NOT (list_sort(gk) <> list_sort(pk) AND gnk = pnk)
+  UNION ALL SELECT arm, split, id, ordinal, 'slot_value', 'slots.' || unnest(list_filter(list_intersect(gk, pk), lambda k: json_extract(g_sl, '$."' || k || '"')::VARCHAR <> json_extract(p_sl, '$."' || k || '"')::VARCHAR)) FROM keyed WHERE NOT (list_sort(gk) <> list_sort(pk) AND gnk = pnk)
+  UNION ALL SELECT arm, split, id, ordinal, 'extra_field', unnest(extra) FROM keyed
+  UNION ALL SELECT arm, split, id, ordinal, 'refusal_or_clarify', 'task_type.route' FROM keyed
+    WHERE (p_tt <> g_tt OR p_rt <> g_rt) AND (p_tt IN ('clarify','blocked') OR g_tt IN ('clarify','blocked') OR p_rt IN ('clarify','deny') OR g_rt IN ('clarify','deny'))
+)"""
+)
+
+
+@query(
+    "residual_families",
+    with_rows(
+        """SELECT t.arm, t.split, f.family, CAST(count(r.id) AS BIGINT) AS residuals, count(r.id) / any_value(t.total)::DOUBLE AS proportion
+FROM (SELECT arm, split, count(*) AS total FROM scored GROUP BY ALL) t CROSS JOIN
+ (SELECT unnest(['route','task_type','normalized_command','slot_key','slot_value','missing_slot','extra_slot','risk_level','confirmation',
+  'success_criteria','allowed_actions','refusal_or_clarify','extra_field','missing_field','invalid_output']) AS family) f
+LEFT JOIN res r ON r.arm = t.arm AND r.split = t.split AND r.family = f.family GROUP BY t.arm, t.split, f.family""",
+        RESIDUALS,
+    ),
+)
+def residual_families(spark, sf_dir):
+    """Zero-filled residual families."""
+    return D.residual_families(fully(spark, sf_dir), ["arm", "split"]).drop("examples")
+
+
+@query(
+    "residual_top_paths",
+    with_rows(
+        """SELECT * FROM (SELECT arm, field_path, CAST(count(*) AS BIGINT) AS residuals,
+ row_number() OVER (PARTITION BY arm ORDER BY count(*) DESC, field_path) AS rank FROM res GROUP BY arm, field_path) WHERE rank <= 20""",
+        RESIDUALS,
+    ),
+)
+def residual_top_paths(spark, sf_dir):
+    """K1: twenty most common residual paths."""
+    return D.top_field_paths(fully(spark, sf_dir))
+
+
+RECORDS = """
+rec AS (SELECT arm, split, id, ordinal, source_id, g_tt || '|' || g_rt || '|' || g_re || '|confirm:' || g_cf || '|slots:' || list_aggregate(list_sort(json_keys(g_sl)), 'string_agg', ',') AS task_family,
+  g_sl, p_sl, unnest(CASE WHEN NOT ok THEN ['schema'] ELSE list_filter([CASE WHEN p_tt <> g_tt THEN 'task_type' END, CASE WHEN p_rt <> g_rt THEN 'route' END,
+  CASE WHEN p_al <> g_al THEN 'safety.allow' END, CASE WHEN p_re <> g_re THEN 'safety.reason' END, CASE WHEN p_cf <> g_cf THEN 'confirmation_required' END,
+  CASE WHEN p_sl <> g_sl THEN 'slots' END, CASE WHEN p_cm <> g_cm THEN 'normalized_command' END], lambda x: x IS NOT NULL) END) AS field_path FROM scored),
+recs AS (SELECT *, CASE field_path WHEN 'schema' THEN 'schema_invalid_prediction' WHEN 'slots' THEN 'slot_strict_mismatch'
+  WHEN 'normalized_command' THEN 'normalized_command_strict_string_mismatch' WHEN 'safety.allow' THEN 'safety_field_strict_mismatch'
+  WHEN 'safety.reason' THEN 'safety_field_strict_mismatch' ELSE field_path || '_strict_mismatch' END AS category,
+  CASE WHEN field_path = 'schema' THEN 'schema_invalid_prediction' ELSE 'value_mismatch' END AS mismatch_category,
+  CASE WHEN field_path = 'normalized_command' THEN 'normalized_command_paraphrase_drift'
+   WHEN field_path = 'slots' AND list_sort(json_keys(g_sl)) = list_sort(json_keys(p_sl)) THEN 'slot_value_canonical_phrase_drift' ELSE 'other_value_drift' END AS drift_bucket
+  FROM rec)"""
+
+
+@query(
+    "residual_clusters",
+    with_rows(
+        """SELECT *, row_number() OVER (PARTITION BY arm ORDER BY residual_rows DESC, residual_fields DESC, task_family, field_path, category) AS cluster_rank FROM (
+SELECT arm, task_family, field_path, category, mismatch_category, count(DISTINCT id) AS residual_rows, count(*) AS residual_fields,
+ count(DISTINCT source_id) AS source_families, count(DISTINCT id) FILTER (WHERE split = 'dev') AS dev_rows,
+ count(DISTINCT id) FILTER (WHERE split = 'test') AS test_rows,
+ list_aggregate((list(id ORDER BY ordinal))[1:5], 'string_agg', ',') AS examples, split_part(task_family, '|', 1) AS short_name
+FROM recs GROUP BY arm, task_family, field_path, category, mismatch_category)""",
+        RECORDS,
+    ),
+)
+def residual_clusters(spark, sf_dir):
+    """Ranked residual clusters."""
+    return D.residual_clusters(records(spark, sf_dir))
+
+
+@query(
+    "drift_buckets",
+    with_rows(
+        """SELECT arm, d.n AS dimension, d.v AS value, count(*) AS residuals FROM (SELECT arm, unnest([
+ {'n': 'split', 'v': split}, {'n': 'field_path', 'v': field_path}, {'n': 'source_id', 'v': source_id}, {'n': 'drift_bucket', 'v': drift_bucket},
+ {'n': 'task_family', 'v': task_family}, {'n': 'category', 'v': category}]) AS d FROM recs) GROUP BY ALL""",
+        RECORDS,
+    ),
+)
+def drift_buckets(spark, sf_dir):
+    """Drift counts by split, field, family and bucket."""
+    return D.drift_counts(records(spark, sf_dir))
+
+
+@query(
+    "case_groups",
+    with_rows(
+        """SELECT arm, source_id, drift_bucket, count(*) AS residuals, count(DISTINCT id) AS residual_rows,
+ string_agg(DISTINCT field_path, ',' ORDER BY field_path) AS field_paths FROM recs GROUP BY ALL""",
+        RECORDS,
+    ),
+)
+def case_groups(spark, sf_dir):
+    """Residual groups for case design."""
+    return D.case_groups(records(spark, sf_dir))
+
+
+@query(
+    "target_families",
+    with_rows(
+        """SELECT *, CASE WHEN priority = 1 THEN 'selected' WHEN short_name = 'blocked' THEN 'defer_to_dedicated_safety_boundary_phase'
+ WHEN short_name IN ('search','navigate','extract') THEN 'defer_to_later_label_canonicalization_phase'
+ WHEN short_name = 'form_fill' THEN 'defer_until_clarify_boundary_target_is_reviewed' ELSE 'defer_after_first_selected_cluster_review' END AS decision
+FROM (SELECT *, CAST(short_name = 'blocked' AS INT) AS is_safety, row_number() OVER (PARTITION BY arm ORDER BY CAST(short_name = 'blocked' AS INT), residual_rows DESC, residual_fields DESC, task_family) AS priority
+ FROM (SELECT arm, task_family, split_part(task_family, '|', 1) AS short_name, count(DISTINCT id) AS residual_rows, count(*) AS residual_fields FROM recs GROUP BY ALL))""",
+        RECORDS,
+    ),
+)
+def target_families(spark, sf_dir):
+    """K5: first target and deferred families with reasons."""
+    return D.target_families(records(spark, sf_dir))
+
+
+@query(
+    "form_fill_buckets",
+    with_rows(
+        """SELECT arm, CASE WHEN field_path = 'normalized_command' THEN 'missing_confirmation_marker' WHEN field_path = 'slots' THEN 'field_specificity_or_alias_drift'
+ WHEN field_path IN ('task_type','route','safety.reason') THEN 'route_intent_leakage' ELSE 'other_form_fill_boundary_residual' END AS bucket,
+ count(DISTINCT id) AS residual_rows, count(*) AS residual_fields, count(*) FILTER (WHERE split = 'dev') AS dev_fields,
+ count(*) FILTER (WHERE split = 'test') AS test_fields FROM recs WHERE task_family LIKE 'form_fill|%' GROUP BY ALL""",
+        RECORDS,
+    ),
+)
+def form_fill_buckets(spark, sf_dir):
+    """Buckets of the form family."""
+    return D.form_fill_buckets(records(spark, sf_dir))
+
+
+@query(
+    "symptoms",
+    with_rows(
+        f"""SELECT arm, count(raw) AS prediction_count, {n('raw IS NULL')} AS missing_prediction_count,
+ {n('raw IS NOT NULL AND NOT ok')} AS schema_invalid_prediction_count, {n("p_rt LIKE '/%'")} AS path_like_route_count,
+ {n("t_sl = 'ARRAY'")} AS list_slots_count, {n("json_ok AND NOT list_contains(keys, 'confirmation_required')")} AS missing_confirmation_required_count
+FROM scored GROUP BY arm"""
+    ),
+)
+def symptoms(spark, sf_dir):
+    """Prediction symptoms."""
+    return D.symptoms(fully(spark, sf_dir))
+
+
+FAMILIES = (
+    PATHS
+    + """,
+pl AS (SELECT arm, id, list(field_path) AS l FROM mism GROUP BY ALL),
+fam AS (SELECT s.*, coalesce(l, []) AS l FROM scored s LEFT JOIN pl USING (arm, id)),
+fams AS (SELECT arm, split,
+ CASE WHEN NOT ok AND list_contains(l, 'confirmation_required') THEN 'missing_required_field_schema_failure' WHEN NOT ok THEN 'schema_failure'
+  WHEN list_has_any(l, ['task_type','route','safety.reason']) THEN 'semantic_task_route_safety_mismatch'
+  WHEN list_contains(l, 'normalized_command') THEN 'strict_string_field_exact_match_mismatch' ELSE 'other_field_exact_match_mismatch' END AS confirmation_family,
+ CASE WHEN list_contains(l, 'confirmation_required') THEN 'schema_missing_confirmation_required'
+  WHEN p_tt NOT IN ('search','navigate','form_fill','extract','clarify','blocked') THEN 'schema_invalid_task_type_enum' WHEN NOT ok THEN 'schema_invalid_prediction_other'
+  WHEN list_has_any(l, ['task_type','route','safety.allow','safety.reason','slots']) THEN 'schema_valid_task_route_safety_slot_mismatch'
+  WHEN l = ['normalized_command'] THEN 'strict_string_field_exact_match_mismatch' WHEN list_contains(l, 'normalized_command') THEN 'normalized_command_with_other_field_mismatch'
+  ELSE 'other_field_exact_match_mismatch' END AS rerun_family,
+ CASE WHEN NOT list_contains(l, 'normalized_command') THEN NULL WHEN NOT ok THEN 'co_occurs_with_schema_failure'
+  WHEN list_has_any(l, ['task_type','route','safety.allow','safety.reason']) THEN 'co_occurs_with_semantic_task_route_safety' WHEN l = ['normalized_command'] THEN 'strict_string_only'
+  ELSE 'co_occurs_with_other_field_mismatch' END AS command_context,
+ CASE WHEN coalesce(t_sl, '') <> 'OBJECT' THEN 'slot_type_or_shape_mismatch'
+  WHEN json_extract(g_sl, '$.query')::VARCHAR <> json_extract(p_sl, '$.query')::VARCHAR THEN 'query_slot_strict_string_mismatch'
+  WHEN g_sl <> p_sl THEN 'other_slot_exact_match_mismatch' ELSE 'slot_matches' END AS slot_shape FROM fam)"""
+)
+
+
+@query(
+    "row_failure_families",
+    with_rows(
+        """SELECT arm, d.n AS dimension, d.v AS value, count(*) AS row_count FROM (SELECT arm, unnest([{'n': 'confirmation_family', 'v': confirmation_family},
+ {'n': 'rerun_family', 'v': rerun_family}, {'n': 'command_context', 'v': command_context}, {'n': 'slot_shape', 'v': slot_shape}]) AS d FROM fams) GROUP BY ALL""",
+        FAMILIES,
+    ),
+)
+def row_failure_families(spark, sf_dir):
+    """Primary failure family, command context and slot shape counts."""
+    rows = D.row_families(fully(spark, sf_dir))
+    return grouping_counts(
+        rows, ["arm"], ["confirmation_family", "rerun_family", "command_context", "slot_shape"], [F.count("*").alias("row_count")]
+    )
+
+
+@query("remediation_ranking")
+def remediation_ranking(spark, sf_dir):
+    """Residual families ranked for the next change."""
+    return D.remediation_ranking(layered(spark, sf_dir), fully(spark, sf_dir))
