@@ -14,17 +14,27 @@ from pactlane.plans.registry import query
 from pactlane.plans.shared import written
 
 
+# One short row file per event, some lines carrying something that must not be published.
+NOTE = (
+    "'{\"id\":' || event_id || '}' || chr(10) || (CASE event_id % 11 WHEN 0 THEN 'saved under /tmp/run' || user_id || '/out' "
+    "WHEN 1 THEN 'api_key: abcd' || (10000 + user_id) WHEN 2 THEN 'host 192.168.1.' || (user_id % 200) WHEN 3 THEN 'ssh dev@host' "
+    "WHEN 4 THEN '{\"provenance\":{\"public_safe\":false}}' WHEN 5 THEN 'plain 172.40.1.1' ELSE event_type END)"
+)
+
+
 def files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
-    return docs.unionByName(pages)
+    notes = table(spark, sf_dir, "events").selectExpr("'events/' || event_id || '.jsonl' AS path", f"{NOTE} AS text")
+    return docs.unionByName(pages).unionByName(notes)
 
 
 PATH_RE = r"""(/Users/[^\s"'')]+|/root/[^\s"'')]+|/tmp/[^\s"'')]+|/mnt/data/[^\s"'')]+)"""
 SECRET_RE = r"(sk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|(?i:(?:api[_-]?key|secret|token)\s*[:=]\s*[A-Za-z0-9_./+=-]{8,}))"
 IP_RE = r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b"
 SSH_RE = r"(?i)(\bssh\s+[^@\s]+@|ssh-rsa|BEGIN OPENSSH PRIVATE KEY|^\s*HostName\s+\S+|^\s*IdentityFile\s+\S+)"
-FILES = """f AS (SELECT 'documents/' || doc_id || '.txt' AS path, text FROM documents UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages)"""
+FILES = f"""f AS (SELECT 'documents/' || doc_id || '.txt' AS path, text FROM documents UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages
+ UNION ALL SELECT 'events/' || event_id || '.jsonl', {NOTE} FROM events)"""
 
 
 @query(
@@ -35,7 +45,8 @@ SELECT path, CAST(line AS INT) AS line, h.c AS category, h.d AS detail FROM (SEL
  CASE WHEN regexp_matches(body, '{PATH_RE}') THEN {{'c': 'private_path', 'd': 'local absolute path'}} END,
  CASE WHEN regexp_matches(body, '{SECRET_RE}') THEN {{'c': 'secret', 'd': 'secret-like token'}} END,
  CASE WHEN regexp_matches(body, '{IP_RE}') THEN {{'c': 'private_ip', 'd': 'private IP address'}} END,
- CASE WHEN regexp_matches(body, '{SSH_RE}') THEN {{'c': 'ssh_detail', 'd': 'SSH command or key detail'}} END], lambda x: x IS NOT NULL)) AS h FROM l)""",
+ CASE WHEN regexp_matches(body, '{SSH_RE}') THEN {{'c': 'ssh_detail', 'd': 'SSH command or key detail'}} END,
+ CASE WHEN path LIKE '%.jsonl' AND body LIKE '%"public_safe":false%' THEN {{'c': 'raw_private_row', 'd': 'public JSONL row marked private'}} END], lambda x: x IS NOT NULL)) AS h FROM l)""",
 )
 def leak_scan(spark, sf_dir):
     """Findings per line of whole documents and pages."""
