@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from pactlane.plans import corpus_queries, curate_queries, evaluation_queries  # noqa: F401
+from pactlane.plans import compare_queries, corpus_queries, curate_queries, evaluation_queries  # noqa: F401
 from pactlane.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
