@@ -1,6 +1,12 @@
 """Registered queries over the given tables."""
 
-from pactlane.plans import compare_queries, corpus_queries, curate_queries, evaluation_queries  # noqa: F401
+from pactlane.plans import (  # noqa: F401
+    compare_queries,
+    corpus_queries,
+    curate_queries,
+    evaluation_queries,
+    provenance_queries,
+)
 from pactlane.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
