@@ -30,7 +30,7 @@ def per_text(fn):
 
     def apply(values: pd.Series) -> pd.Series:
         known = {v: fn(v) for v in values.dropna().unique()}
-        return values.map(known)
+        return pd.Series([known.get(v) if isinstance(v, str) else None for v in values], dtype=object)
 
     return apply
 
