@@ -183,7 +183,7 @@ def bootstrap(pairs: DataFrame, metrics: list[str], resamples: int = 2000, seed:
     hist = deltas.groupBy("split", "metric", "delta").agg(F.count("*").alias("n"))
     spread = hist.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // chunk))))
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         split, metric, part = key
         pdf = pdf.sort_values("delta")
         n = pdf["n"].to_numpy(dtype=np.int64)
