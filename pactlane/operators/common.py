@@ -40,6 +40,11 @@ def examples(df: DataFrame, groups: list[str], order: str, value: str, k: int, o
     return picked.groupBy(*groups).agg(F.array_join(F.transform(pairs, lambda x: x[value]), ",").alias(out))
 
 
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Put two one-row aggregates side by side."""
+    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def stack_columns(df: DataFrame, keep: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     """Turn value columns into (name, value) rows in one narrow step."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in columns]))

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from pactlane.functions import constants as C
 from pactlane.functions.contract import fields_equal
-from pactlane.operators.common import count_if, first_k, flag, grouping_counts, stack_columns
+from pactlane.operators.common import beside, count_if, first_k, flag, grouping_counts, stack_columns
 
 OUTCOMES = ("exact", "task_type", "route", "safety", "confirmation", "slot")
 
@@ -285,4 +285,4 @@ def cohort_check(rows: DataFrame, expected_ids: DataFrame, cells: DataFrame, cel
 def invariance(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that differ between two outputs of the same run, counted both ways."""
     left, right = a.exceptAll(b).agg(F.count("*").alias("only_first")), b.exceptAll(a).agg(F.count("*").alias("only_second"))
-    return left.crossJoin(right)  # one row each
+    return beside(left, right)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import contract_valid, json_literal, parse_contract
-from pactlane.operators.common import count_if, examples, grouping_counts, stack_columns, union_all
+from pactlane.operators.common import beside, count_if, examples, grouping_counts, stack_columns, union_all
 
 SLOT_JSON = "array<struct<k:string,j:string>>"
 
@@ -342,8 +342,8 @@ def artifact_failures(rows: DataFrame, pairs: DataFrame, manifest: DataFrame) ->
     """Row, pair and manifest failures as (id, category, message)."""
     row_f = check_rows(rows).where("violation IS NOT NULL").select("id", F.lit("schema").alias("category"), F.col("violation").alias("message"))
     pair_f = check_pairs(pairs).where("violation IS NOT NULL").select("id", F.lit("preference_pair").alias("category"), F.col("violation").alias("message"))
-    counted = rows.agg(F.count("*").alias("rows")).crossJoin(pairs.agg(F.count("*").alias("pairs")))  # one row x one row
-    joined = manifest.crossJoin(counted)  # one-row manifest
+    counted = beside(rows.agg(F.count("*").alias("rows")), pairs.agg(F.count("*").alias("pairs")))
+    joined = beside(manifest, counted)
     manifest_f = joined.select(
         F.col("manifest_id").alias("id"),
         F.lit("manifest").alias("category"),

@@ -9,7 +9,7 @@ from pactlane.functions import canonical as J
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import contract_valid, json_literal, parse_contract
-from pactlane.operators.common import union_all
+from pactlane.operators.common import beside, union_all
 
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 MAX_ORDERED = 5_000_000
@@ -80,7 +80,7 @@ def freeze_manifest(raw_rows: DataFrame) -> DataFrame:
     """Row count, family count and lockbox hash of a frozen set."""
     hashed = freeze(raw_rows)
     fam = read_rows(raw_rows).agg(F.count_distinct("family_id").alias("family_count"))
-    return ordered_hash(hashed, "content_hash").crossJoin(fam)  # one row each
+    return beside(ordered_hash(hashed, "content_hash"), fam)
 
 
 def row_failures(parsed: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def manifest_failures(raw_rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest row (JSON text ``raw``) against the one-row aggregate of the set."""
     facts = freeze_manifest(raw_rows)
     hashes = freeze(raw_rows).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content_hash"))), lambda e: e["content_hash"]).alias("hashes"))
-    m = manifest.select("raw", F.try_parse_json("raw").alias("__m")).crossJoin(facts).crossJoin(hashes)  # one row each
+    m = beside(beside(manifest.select("raw", F.try_parse_json("raw").alias("__m")), facts), hashes)
     get = lambda path, kind: F.try_variant_get("__m", path, kind)
     text = lambda path: _text("__m", path)
     declared = F.from_json(F.get_json_object("raw", "$.content_hashes"), "array<string>")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pactlane.operators import curate as K
+from pactlane.operators import cohorts as G
+from pactlane.operators import compare as P
 from pactlane.operators import evaluate as E
+from pactlane.operators import provenance as V
+from pactlane.operators.common import beside
 from pactlane.plans import inputs
-from pactlane.plans.evaluation_queries import gold
+from pactlane.plans.evaluation_queries import gold, preds
 from pactlane.plans.registry import query
 from pactlane.plans.shared import written
 
@@ -167,7 +171,7 @@ def rule_baseline(spark, sf_dir):
     g = gold(spark, sf_dir)
     m = E.strict_metrics(E.scored(g, K.rule_baseline(g), ["rules"]), ["arm"])
     share = g.agg((F.sum((F.get_json_object("gold", "$.task_type") == "search").cast("int")) / F.count("*")).alias("task_is_search"))
-    return m.select("row_count", "route_accuracy", "task_type_accuracy").crossJoin(share)  # one row each
+    return beside(m.select("row_count", "route_accuracy", "task_type_accuracy"), share)
 
 
 TRAIN = "'system: Return one JSON contract.' || chr(10) || 'user: ' || s || chr(10) || 'assistant: ' || t"
@@ -215,3 +219,60 @@ def training_selection(spark, sf_dir):
     g = gold(spark, sf_dir)
     wanted = g.where(F.col("source_id").rlike("-[01]$")).select("source_id").distinct()
     return K.selection_record(g, K.select_training_rows(g, wanted, None))
+
+
+# ---- cohorts and challenge ----------------------------------------------------------------
+
+
+@query(
+    "integration_preview",
+    HEAD + """ SELECT split, CAST(count(*) FILTER (WHERE k <> 5) AS BIGINT) AS before, count(*) AS after, CAST(count(*) FILTER (WHERE k = 5) AS BIGINT) AS added FROM b5 GROUP BY split""",
+)
+def integration_preview(spark, sf_dir):
+    """Promoted candidates of one family previewed against the base set."""
+    s = seeds(spark, sf_dir)
+    last = F.element_at("provenance", "family_id").rlike("-5$")
+    return G.preview(s.where(~last), G.promote(s.where(last), "review"))
+
+
+@query(
+    "cohort_summary",
+    HEAD + """ SELECT 'sanitized_seed' AS source_mode, 'promoted' AS status, split, count(*) AS seeds, CAST(1 AS BIGINT) AS families FROM b5 GROUP BY split""",
+)
+def cohort_summary(spark, sf_dir):
+    """Seeds per cohort and split."""
+    return G.cohort_summary(G.promote(seeds(spark, sf_dir), "review"))
+
+
+@query(
+    "cohort_check",
+    f"""WITH {inputs.sql_prelude()} SELECT issue, count(*) AS subjects FROM (SELECT 'missing_id' AS issue FROM gold_rows WHERE id NOT IN (SELECT id FROM predictions WHERE arm = 'treatment')
+ UNION ALL SELECT 'cell_count_mismatch' FROM (SELECT split, count(*) AS e, count(p.id) AS n FROM gold_rows g LEFT JOIN (SELECT id FROM predictions WHERE arm = 'treatment') p USING (id) GROUP BY split) WHERE e <> n) GROUP BY issue""",
+)
+def cohort_check(spark, sf_dir):
+    """Treatment rows against the expected ids and the expected count per split."""
+    g = gold(spark, sf_dir)
+    rows_ = preds(spark, sf_dir).where(F.col("arm") == "treatment").join(g.select("id", "split"), "id")
+    cells = g.groupBy("split").agg(F.count("*").alias("expected"))
+    return P.cohort_check(rows_, g.select("id"), cells, ["split"]).groupBy("issue").agg(F.count("*").alias("subjects"))
+
+
+@query(
+    "challenge_composition",
+    f"""WITH {inputs.sql_prelude()}, c AS (SELECT * FROM (VALUES ('exact_unique','VERIFIED_EXACT_UNIQUE'),('duplicate_exact','AMBIGUOUS_MULTIPLE_MATCHES'),('source_absent','NOT_FOUND'),
+ ('partial_span_trap','AMBIGUOUS_MULTIPLE_MATCHES'),('normalization_candidate','VERIFIED_NORMALIZED_UNIQUE'),('normalization_collision','AMBIGUOUS_MULTIPLE_MATCHES')) t(condition, expected))
+SELECT tt || ':' || rt || ':' || sk AS scope_key, condition, CASE WHEN k IN (0, 2, 3) THEN expected ELSE 'OUT_OF_SCOPE' END AS status, count(*) AS row_count FROM b5 CROSS JOIN c GROUP BY ALL""",
+)
+def challenge_composition(spark, sf_dir):
+    """Challenge rows for every event, verified against their condition."""
+    at = lambda p: F.get_json_object("gold", p)
+    scopes = gold(spark, sf_dir).select(
+        F.col("id").alias("origin"), at("$.task_type").alias("task_type"), at("$.route").alias("route"),
+        F.json_object_keys(at("$.slots"))[0].alias("slot_path"), F.concat(F.lit("item-"), F.col("ordinal"), F.lit("-")).alias("prefix"),
+    )
+    grid = G.challenge_grid(scopes, 1)
+    slots = grid.select(
+        "condition", F.col("input_text").alias("source_text"), F.lit("STRING").alias("kind"), F.col("value").alias("text"),
+        F.concat_ws(":", "task_type", "route", "slot_path").alias("scope_key"),
+    )
+    return V.verify(slots, V.default_policy(spark)).groupBy("scope_key", "condition", "status").agg(F.count("*").alias("row_count"))
