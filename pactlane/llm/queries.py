@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import substring
+from pactlane.llm import decontaminate, substring
 from pactlane.llm.blocks import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,37 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN a USING (doc_id)
 """
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that stand in a window of 10 benchmark words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    out = out.select("doc_id", F.col("__n_words").alias("n_words"), decontaminate.hit_words().alias("n_hit"), "__items")
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op4_decontamination"] = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(words)) AS size,
+               array_to_string(words[i : i + least(10, len(words)) - 1], ' ') AS gram
+        FROM (SELECT *, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS i FROM b WHERE len(words) > 0)),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM low),
+sizes AS (SELECT DISTINCT size FROM win),
+g AS (SELECT doc_id, pos, size, array_to_string(words[pos + 1 : pos + size], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM low), sizes WHERE pos + size <= len(words)),
+m AS (SELECT g.doc_id, g.pos, g.size, win.item_id FROM g JOIN win USING (size, gram)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM m) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+       FROM m GROUP BY 1)
+SELECT d.doc_id, len(coalesce(words, []))::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
