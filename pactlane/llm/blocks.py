@@ -110,10 +110,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (cheap to count: a stored table) for the small side of a join. Up to ``rows`` rows it is
-    broadcast; beyond, it is left as it is and Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+BROADCAST_BYTES = 48 << 20
+
+
+def small(df: DataFrame, row_bytes: Column | int = 16, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a stored table, so cheap to measure) for the small side of a join. Measured up to
+    ``limit`` bytes it is broadcast; beyond, it is left as it is and Spark shuffles both sides."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import decontaminate, substring
+from pactlane.llm import decontaminate, ngram_join, substring
 from pactlane.llm.blocks import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,33 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked from a Jaccard similarity of 0.9 over three-word shingles, by component."""
+    out = ngram_join.similar(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op1_ngram_join"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, hash(gram) AS gram FROM (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + least(3, len(words)) - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, 0) + 2)) AS i FROM w WHERE len(words) > 0))),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  JOIN z x ON x.doc_id = a.doc_id JOIN z y ON y.doc_id = b.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN z USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 20 words are removed from every document."""

@@ -36,7 +36,6 @@ from pactlane.llm.blocks import BLOCK_BYTES, WordHashes, mix, rolling, small, st
 WIDTH = 20
 RUN = 3  # words hashed together for the minimiser
 BUCKET_BYTES = 4 << 20  # input text per bucket
-BROADCAST_ROWS = 500_000  # documents with removals up to which their intervals are broadcast
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NO_ID = -(1 << 63)
 
@@ -211,6 +210,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> Da
     found = stored(repeated_windows(docs, width), "repeats")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     others = [c for c in docs.columns if c != "text"]
-    joined = docs.join(small(found.withColumnRenamed("doc_id", "__doc"), BROADCAST_ROWS), F.col("__doc") == F.coalesce("doc_id", F.lit(NO_ID)), "left")
+    size = F.aggregate("runs", F.lit(40), lambda n, r: n + F.length(r) + 16)
+    joined = docs.join(small(found.withColumnRenamed("doc_id", "__doc"), size), F.col("__doc") == F.coalesce("doc_id", F.lit(NO_ID)), "left")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", text string, __n_words long, __n_removed long"
     return joined.select(*others, "text", "runs").mapInArrow(_apply(width, digest), schema).select(*docs.columns, "__n_words", "__n_removed")
