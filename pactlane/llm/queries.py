@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import decontaminate, ngram_join, substring
-from pactlane.llm.blocks import table
+from pactlane.llm import decontaminate, ngram_join, substring, toxicity
+from pactlane.llm.blocks import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,15 @@ SELECT d.doc_id, len(coalesce(words, []))::BIGINT AS n_words, coalesce(n_hit, 0)
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that a document is toxic, from its significant segments."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.size("__passages").alias("n_passages"),
+    )
