@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import decontaminate, ngram_join, substring, toxicity
+from pactlane.llm import decontaminate, language, ngram_join, substring, toxicity
 from pactlane.llm.blocks import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.size("__passages").alias("n_passages"),
     )
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of a document by naive Bayes over hashed character n-grams."""
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
