@@ -39,6 +39,11 @@ def values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered for repeated words; forgotten when it has grown."""
 
@@ -88,6 +93,14 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * up[: n - width + 1] + np.uint64(width))
 
 
+def rolling_sums(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hash of ``h[a:b]`` for each pair of ``start`` and ``stop``, independent of its place."""
+    up, down = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * down[: len(h)], out=sums[1:])
+    return (sums[stop] - sums[start]) * up[start]
+
+
 def whole_runs(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the runs of ``width`` that stay within one document, and each one's document."""
     owner = np.repeat(np.arange(len(counts)), counts)

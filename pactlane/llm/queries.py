@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import decontaminate, language, ngram_join, substring, toxicity
+from pactlane.llm import decontaminate, fingerprint, language, ngram_join, substring, toxicity
 from pactlane.llm.blocks import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs.select("doc_id", "text"), language.train(docs))
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lempel-Ziv fingerprints of documents, compared with an edited text and the next document."""
+    return fingerprint.with_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
