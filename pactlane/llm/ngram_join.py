@@ -3,8 +3,10 @@
 A document is the set of its distinct shingles. Equal sets become one class first. For a class Q of
 n shingles to reach Jaccard t with another, at least ceil(t n) of its shingles must be shared, so
 one of its n - ceil(t n) + 1 rarest shingles is. The matrix row of such a shingle names a group of
-possibly similar classes; rows that name the same group are opened once. Only those classes travel
-with their sets. Inside a cell (a group, or two blocks of a large group) classes are partitioned
+possibly similar classes; rows that name the same group are opened once. First every class of a
+group shows a parity sketch of its set (about a bit per shingle): the bits in which two sketches
+differ are a lower bound of the shingles in which the sets do, so classes without a possible partner
+leave the group. Only the others travel with their sets. Inside a cell (a group, or two blocks of a large group) classes are partitioned
 into groups of linked ones, each with the union of its tokens; a query's overlap with the union
 bounds its overlap with every member, and only qualifying groups are opened and compared exactly.
 A query that has met one link of a group needs no other there, so a dense group costs about one
@@ -65,6 +67,47 @@ def class_of(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
+def sketch_bits(n: int) -> int:
+    return 1 << min(15, max(6, (n - 1).bit_length()))
+
+
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """Parity of the shingles that fall on each bit."""
+    if not len(tokens):
+        return None
+    bits = sketch_bits(len(tokens))
+    parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: int, bits: int, to: int) -> int:
+    """The sketch over fewer bits."""
+    while bits > to:
+        bits >>= 1
+        x = (x & ((1 << bits) - 1)) ^ (x >> bits)
+    return x
+
+
+def partnered(members: list[tuple[int, int, bytes]], num: int, den: int) -> list[int]:
+    """Classes of (class, size, sketch) that sizes and sketches allow to link with another one."""
+    members = sorted(set(members), key=lambda m: (m[1], m[0]))
+    bits = [sketch_bits(n) for _, n, _ in members]
+    marks = [int.from_bytes(s, "little") for _, _, s in members]
+    found = [False] * len(members)
+    for k, (_, n, _) in enumerate(members):
+        for o in range(k - 1, -1, -1):
+            size = members[o][1]
+            if size * den < num * n:
+                break
+            if found[k] and found[o]:
+                continue
+            b = min(bits[k], bits[o])
+            apart = (folded(marks[k], bits[k], b) ^ folded(marks[o], bits[o], b)).bit_count()
+            if apart * (den + num) <= (den - num) * (n + size):
+                found[k] = found[o] = True
+    return [m[0] for m, f in zip(members, found, strict=True) if f]
+
+
 def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
@@ -75,10 +118,10 @@ def _classes(width: int):
     def summary(sets: list) -> pa.RecordBatch:
         tokens, df = np.unique(np.concatenate(sets), return_counts=True)
         often = df >= SHARED
-        row = [None, None, None, None, tokens[often].tobytes(), df[often].astype(np.int32).tobytes()]
+        row = [None, None, None, None, None, tokens[often].tobytes(), df[often].astype(np.int32).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, chunk, size, seen = WordHashes(), [], 0, set()
@@ -92,7 +135,8 @@ def _classes(width: int):
                     size += len(s)
             blank = pa.nulls(len(ids), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values(batch, "doc_id"), pa.int64()), pa.array(values(batch, "text_hash"), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), blank, blank], schema=schema
+                [pa.array(values(batch, "doc_id"), pa.int64()), pa.array(values(batch, "text_hash"), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), blank, blank],
+                schema=schema,
             )
             if size > CHUNK:
                 yield summary(chunk)
@@ -209,30 +253,53 @@ def linked(classes: list[int], sets: list[np.ndarray], num: int, den: int) -> li
     return edges
 
 
-def _open(num: int, den: int):
-    """Cells arrive one after another, sorted; each is held alone."""
+def _cells(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of one cell after another from sorted batches; one cell is held at a time."""
+    cell, rows = None, []
+    for batch in batches:
+        for k, row in zip(zip(*(values(batch, n) for n in key), strict=True), zip(*(values(batch, n) for n in columns), strict=True), strict=True):
+            if k != cell:
+                yield rows
+                cell, rows = k, []
+            rows.append(row)
+    yield rows
+
+
+def _sieve(num: int, den: int):
+    """Classes that may link, under a name that only depends on who they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, members = None, {}
+        out: list[tuple[int, int]] = []
+        for rows in _cells(batches, ("token", "i", "j"), ("class", "n", "sketch")):
+            some = partnered(rows, num, den)
+            if some:
+                name = xxhash.xxh3_64_intdigest(np.sort(np.array(some, np.int64)).tobytes()) - (1 << 63)
+                out += [(name, c) for c in some]
+            if len(out) > 10_000:
+                yield _pairs(out, "cell", "class")
+                out = []
+        yield _pairs(out, "cell", "class")
+
+    return run
 
-        def close() -> list[tuple[int, int]]:
-            return linked(list(members), [np.frombuffer(t, np.uint64) for t in members.values()], num, den) if len(members) > 1 else []
 
-        for batch in batches:
-            edges: list[tuple[int, int]] = []
-            for token, i, j, c, tokens in zip(*(values(batch, n) for n in ("token", "i", "j", "class", "tokens")), strict=True):
-                if (token, i, j) != cell:
-                    edges += close()
-                    cell, members = (token, i, j), {}
-                members[c] = tokens
-            yield _edges(edges)
-        yield _edges(close())
+def _open(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for rows in _cells(batches, ("cell",), ("class", "tokens")):
+            members = dict(rows)
+            if len(members) > 1:
+                out += linked(list(members), [np.frombuffer(t, np.uint64) for t in members.values()], num, den)
+            if len(out) > 10_000:
+                yield _pairs(out, "a", "b")
+                out = []
+        yield _pairs(out, "a", "b")
 
     return run
 
 
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+def _pairs(rows: list[tuple[int, int]], first: str, second: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=[first, second])
 
 
 def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -241,7 +308,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     Documents link from a Jaccard similarity of num / den."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    seen = stored(docs.mapInArrow(_classes(width), "doc_id long, text_hash long, n long, class long, tokens binary, df binary"), "classes")
+    seen = stored(docs.mapInArrow(_classes(width), "doc_id long, text_hash long, n long, class long, sketch binary, tokens binary, df binary"), "classes")
     known = seen.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "class")
 
     top = seen.where("tokens IS NOT NULL").select("tokens", "df").mapInArrow(_spread, "token long, df long")
@@ -260,14 +327,16 @@ def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_TOKENS))
     cells = rare.join(rows.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("class", "token"), "blocks"))
     cells = cells.select("token", "class", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("c"))
-    cells = stored(cells.select("token", "class", "c.i", "c.j").distinct(), "cells")
+    shown = seen.where("class IS NOT NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    cells = cells.select("token", "class", "c.i", "c.j").distinct().join(shown, "class").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    cells = stored(cells.select("token", "i", "j", "class", "n", "sketch").mapInArrow(_sieve(num, den), "cell long, class long").distinct(), "cells")
 
     bearers = known.join(cells.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
     bearers = stored(bearers.select("class", F.col("d.doc_id").alias("b_id"), F.col("d.text_hash").alias("b_hash")), "bearers")
     sets = docs.join(small(bearers, 32), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")))
     sets = sets.select("class", "text").mapInArrow(_sets(width), "class long, tokens binary")
-    opened = cells.join(sets, "class").select("token", "i", "j", "class", "tokens")
-    edges = opened.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_open(num, den), "a long, b long")
+    opened = cells.join(sets, "class").select("cell", "class", "tokens")
+    edges = opened.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open(num, den), "a long, b long")
 
     label = components(edges)
     firsts = known.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
