@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import decontaminate, fingerprint, language, ngram_join, substring, toxicity
+from pactlane.llm import bpe, decontaminate, fingerprint, language, ngram_join, substring, toxicity
 from pactlane.llm.blocks import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lempel-Ziv fingerprints of documents, compared with an edited text and the next document."""
     return fingerprint.with_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by backtracking, and the text decoded from them."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
