@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import bpe, decontaminate, fingerprint, language, ngram_join, substring, toxicity
-from pactlane.llm.blocks import fold, table
+from pactlane.llm import bpe, decontaminate, fingerprint, language, ngram_join, substring, token_files, toxicity
+from pactlane.llm.blocks import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by backtracking, and the text decoded from them."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document in Huffman-coded files, read back."""
+    folder = scratch(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end=2)
+    return token_files.read(spark, folder, digest=True)
