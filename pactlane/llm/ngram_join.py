@@ -3,11 +3,12 @@
 A document is the set of its distinct shingles. Equal sets become one class first. For a class Q of
 n shingles to reach Jaccard t with another, at least ceil(t n) of its shingles must be shared, so
 one of its n - ceil(t n) + 1 rarest shingles is. The matrix row of such a shingle names a group of
-possibly similar classes; rows that name the same group are opened once. First every class of a
-group shows a parity sketch of its set (about a bit per shingle): the bits in which two sketches
-differ are a lower bound of the shingles in which the sets do, so classes without a possible partner
-leave the group. Only the others travel with their sets. Inside a cell (a group, or two blocks of a large group) classes are partitioned
-into groups of linked ones, each with the union of its tokens; a query's overlap with the union
+possibly similar classes; rows that name the same classes are looked at once. Every class shows a
+parity sketch of its set there (less than a bit per shingle): the bits in which two sketches differ
+are a lower bound of the shingles in which the sets do. The pairs that this bound leaves partition
+the classes into groups (connected components), so each class is in one group, and only classes with
+a possible partner travel with their sets. Inside a cell (a group, or two blocks of a large one)
+classes are kept in subgroups of linked ones, each with the union of its tokens; a query's overlap with the union
 bounds its overlap with every member, and only qualifying groups are opened and compared exactly.
 A query that has met one link of a group needs no other there, so a dense group costs about one
 comparison per class and yields a spanning forest, never all pairs.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlane.llm.blocks import WordHashes, rolling, small, stored, text_blocks, values, whole_runs
@@ -38,6 +39,7 @@ from pactlane.llm.components import components
 RANKED = 1 << 18  # most frequent shingles that go last in the order of rareness
 CHUNK = 4_000_000  # shingles of a task whose counts are summed up at a time
 SHARED = 3  # documents of a chunk that must share a shingle for it to be summed up
+SKETCHED_CLASSES = 1024  # a larger row of the matrix is sieved as pairs of blocks of this size
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 128_000  # a larger group is opened as pairs of blocks of this size
 
 
@@ -67,15 +69,16 @@ def class_of(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
-def sketch_bits(n: int) -> int:
-    return 1 << min(15, max(6, (n - 1).bit_length()))
+def sketch_bits(n: int, num: int, den: int) -> int:
+    """Bits of a sketch: unrelated sets differ in about half of them, more than linked ones may."""
+    return 1 << max(6, (6 * n * (den - num) // (den + num)).bit_length())
 
 
-def sketch(tokens: np.ndarray) -> bytes | None:
+def sketch(tokens: np.ndarray, num: int, den: int) -> bytes | None:
     """Parity of the shingles that fall on each bit."""
     if not len(tokens):
         return None
-    bits = sketch_bits(len(tokens))
+    bits = sketch_bits(len(tokens), num, den)
     parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -88,31 +91,38 @@ def folded(x: int, bits: int, to: int) -> int:
     return x
 
 
-def partnered(members: list[tuple[int, int, bytes]], num: int, den: int) -> list[int]:
-    """Classes of (class, size, sketch) that sizes and sketches allow to link with another one."""
+def _find(root: list[int], k: int) -> int:
+    while root[k] != k:
+        root[k] = k = root[root[k]]
+    return k
+
+
+def candidates(members: list[tuple[int, int, bytes]], num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest over (class, size, sketch) of the pairs that sizes and sketches allow to link."""
     members = sorted(set(members), key=lambda m: (m[1], m[0]))
-    bits = [sketch_bits(n) for _, n, _ in members]
+    bits = [8 * len(s) for _, _, s in members]
     marks = [int.from_bytes(s, "little") for _, _, s in members]
-    found = [False] * len(members)
-    for k, (_, n, _) in enumerate(members):
+    root, out = list(range(len(members))), []
+    for k, (name, n, _) in enumerate(members):
         for o in range(k - 1, -1, -1):
             size = members[o][1]
             if size * den < num * n:
                 break
-            if found[k] and found[o]:
+            if _find(root, o) == _find(root, k):
                 continue
             b = min(bits[k], bits[o])
             apart = (folded(marks[k], bits[k], b) ^ folded(marks[o], bits[o], b)).bit_count()
             if apart * (den + num) <= (den - num) * (n + size):
-                found[k] = found[o] = True
-    return [m[0] for m, f in zip(members, found, strict=True) if f]
+                root[_find(root, k)] = _find(root, o)
+                out.append((members[o][0], name))
+    return out
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def _classes(width: int):
+def _classes(width: int, num: int, den: int):
     """Per document its set's size and class; per chunk the shingles that several documents share."""
 
     def summary(sets: list) -> pa.RecordBatch:
@@ -135,7 +145,7 @@ def _classes(width: int):
                     size += len(s)
             blank = pa.nulls(len(ids), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values(batch, "doc_id"), pa.int64()), pa.array(values(batch, "text_hash"), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), blank, blank],
+                [pa.array(values(batch, "doc_id"), pa.int64()), pa.array(values(batch, "text_hash"), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([sketch(s, num, den) for s in sets], pa.binary()), blank, blank],
                 schema=schema,
             )
             if size > CHUNK:
@@ -212,12 +222,6 @@ def linked(classes: list[int], sets: list[np.ndarray], num: int, den: int) -> li
     rows = [column[code[a : a + n][shared[a : a + n]]] for a, n in zip(edge, size, strict=True)]
     width = int((df > 1).sum())
     root = list(range(len(classes)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
     edges: list[tuple[int, int]] = []
     unions: list[np.ndarray] = []  # tokens of a group, as a row over the shared tokens
     groups: list[list[int]] = []
@@ -231,7 +235,7 @@ def linked(classes: list[int], sets: list[np.ndarray], num: int, den: int) -> li
             for g in np.argsort(-bound, kind="stable"):
                 if bound[g] < need:
                     break
-                if find(groups[g][0]) == find(q):
+                if _find(root, groups[g][0]) == _find(root, q):
                     continue
                 for at, k in enumerate(groups[g]):
                     if size[k] * den < num * size[q]:
@@ -239,7 +243,7 @@ def linked(classes: list[int], sets: list[np.ndarray], num: int, den: int) -> li
                     both = int(own[rows[k]].sum())
                     if both * den >= num * (size[k] + size[q] - both):
                         edges.append((classes[k], classes[q]))
-                        root[find(q)] = find(k)
+                        root[_find(root, q)] = _find(root, k)
                         groups[g].insert(0, groups[g].pop(at))
                         home = g if home < 0 else home
                         break
@@ -265,41 +269,43 @@ def _cells(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], columns: tup
     yield rows
 
 
-def _sieve(num: int, den: int):
-    """Classes that may link, under a name that only depends on who they are."""
+def _each_cell(key: tuple[str, ...], columns: tuple[str, ...], edges):
+    """Edges (a, b) of every cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for rows in _cells(batches, ("token", "i", "j"), ("class", "n", "sketch")):
-            some = partnered(rows, num, den)
-            if some:
-                name = xxhash.xxh3_64_intdigest(np.sort(np.array(some, np.int64)).tobytes()) - (1 << 63)
-                out += [(name, c) for c in some]
+        for rows in _cells(batches, key, columns):
+            if len(rows) > 1:
+                out += edges(rows)
             if len(out) > 10_000:
-                yield _pairs(out, "cell", "class")
+                yield _pairs(out)
                 out = []
-        yield _pairs(out, "cell", "class")
+        yield _pairs(out)
 
     return run
 
 
+def _sieve(num: int, den: int):
+    return _each_cell(("token", "i", "j"), ("class", "n", "sketch"), lambda rows: candidates(rows, num, den))
+
+
 def _open(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for rows in _cells(batches, ("cell",), ("class", "tokens")):
-            members = dict(rows)
-            if len(members) > 1:
-                out += linked(list(members), [np.frombuffer(t, np.uint64) for t in members.values()], num, den)
-            if len(out) > 10_000:
-                yield _pairs(out, "a", "b")
-                out = []
-        yield _pairs(out, "a", "b")
+    def edges(rows: list[tuple]) -> list[tuple[int, int]]:
+        members = dict(rows)
+        return linked(list(members), [np.frombuffer(t, np.uint64) for t in members.values()], num, den)
+
+    return _each_cell(("group", "i", "j"), ("class", "tokens"), edges)
 
-    return run
 
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
 
-def _pairs(rows: list[tuple[int, int]], first: str, second: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=[first, second])
+
+def _in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """(key, i, j, class) for every pair of blocks (i <= j) that a row's block takes part in."""
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class", key), "blocks"))
+    with_each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    return rows.select(key, "class", F.explode(with_each).alias("c")).select(key, "class", "c.i", "c.j")
 
 
 def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -308,7 +314,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     Documents link from a Jaccard similarity of num / den."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    seen = stored(docs.mapInArrow(_classes(width), "doc_id long, text_hash long, n long, class long, sketch binary, tokens binary, df binary"), "classes")
+    seen = stored(docs.mapInArrow(_classes(width, num, den), "doc_id long, text_hash long, n long, class long, sketch binary, tokens binary, df binary"), "classes")
     known = seen.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "class")
 
     top = seen.where("tokens IS NOT NULL").select("tokens", "df").mapInArrow(_spread, "token long, df long")
@@ -318,25 +324,27 @@ def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     ranked = spark.sparkContext.broadcast((often[by], (len(often) - np.arange(len(often)))[by]))
 
     rare = stored(docs.select("text").mapInArrow(_rare(width, num, den, ranked), "token long, class long, n long"), "rare")
-    code = F.xxhash64("class")
-    rows = rare.groupBy("token").agg(
-        F.count("*").alias("m"), F.sum("n").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"),
-        F.sum(code.bitwiseAND(0x7FFFFFFF)).alias("s1"), F.sum(F.shiftrightunsigned(code, 33)).alias("s2"),
-    ).where("low <> high")
-    rows = rows.groupBy("m", "size", "s1", "s2").agg(F.min("token").alias("token"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_TOKENS))
-    cells = rare.join(rows.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("class", "token"), "blocks"))
-    cells = cells.select("token", "class", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("c"))
+    # rows of the matrix that name the same classes are opened once: told by count, smallest and sums of hashes
+    parts = [lambda c: F.xxhash64(c).bitwiseAND(0x7FFFFFFF), lambda c: F.shiftrightunsigned(F.xxhash64(c), 33)]
+    rows = rare.groupBy("token").agg(F.count("*").alias("m"), F.min("class").alias("low"), *[F.sum(p("class")).alias(f"s{k}") for k, p in enumerate(parts)])
+    rows = rows.where((F.col("s0") != F.col("m") * parts[0]("low")) | (F.col("s1") != F.col("m") * parts[1]("low")))
+    rows = rows.groupBy("m", "low", "s0", "s1").agg(F.min("token").alias("token")).select("token", "m")
+    cells = _in_blocks(rare.join(rows, "token").select("token", "m", "class").distinct(), "token", F.ceil(F.col("m") / SKETCHED_CLASSES))
     shown = seen.where("class IS NOT NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    cells = cells.select("token", "class", "c.i", "c.j").distinct().join(shown, "class").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    cells = stored(cells.select("token", "i", "j", "class", "n", "sketch").mapInArrow(_sieve(num, den), "cell long, class long").distinct(), "cells")
-
-    bearers = known.join(cells.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    bearers = stored(bearers.select("class", F.col("d.doc_id").alias("b_id"), F.col("d.text_hash").alias("b_hash")), "bearers")
-    sets = docs.join(small(bearers, 32), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")))
+    cells = cells.join(shown, "class").select("token", "i", "j", "class", "n", "sketch")
+    maybe = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_sieve(num, den), "a long, b long")
+
+    # what may link, directly or by others, is one group of the partition
+    groups = components(maybe).select(F.col("node").alias("class"), F.col("root").alias("group"))
+    bearers = known.join(groups, "class").groupBy("class").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    bearers = stored(bearers.select("class", "group", "n", F.col("d.doc_id").alias("b_id"), F.col("d.text_hash").alias("b_hash")), "bearers")
+    sizes = bearers.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("size"))
+    cells = _in_blocks(bearers.join(sizes, "group"), "group", F.col("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash"))
+    sets = docs.join(small(bearers.select("class", "b_id", "b_hash"), 40), same)
     sets = sets.select("class", "text").mapInArrow(_sets(width), "class long, tokens binary")
-    opened = cells.join(sets, "class").select("cell", "class", "tokens")
-    edges = opened.repartition("cell").sortWithinPartitions("cell").mapInArrow(_open(num, den), "a long, b long")
+    opened = cells.join(sets, "class").select("group", "i", "j", "class", "tokens")
+    edges = opened.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_open(num, den), "a long, b long")
 
     label = components(edges)
     firsts = known.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
