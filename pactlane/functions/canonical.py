@@ -78,17 +78,23 @@ def _scalar(value) -> tuple[str, str | None]:
     return "NUMBER", str(value)
 
 
-def _flatten(value, prefix: str, out: list) -> list:
-    if isinstance(value, dict):
-        for key in sorted(value):
-            _flatten(value[key], f"{prefix}.{key}" if prefix else key, out)
-    elif isinstance(value, list):
-        for i, item in enumerate(value):
-            _flatten(item, f"{prefix}[{i}]", out)
-    else:
-        kind, text = _scalar(value)
-        out.append({"path": prefix, "kind": kind, "text": text})
-    return out
+def _nodes(root):
+    """(path of keys and positions, node) of every value below ``root``, without recursion."""
+    open_ = [((), root)]
+    while open_:
+        path, node = open_.pop()
+        yield path, node
+        inner = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
+        open_ += [((*path, step), below) for step, below in inner]
+
+
+def _shown(path: tuple) -> str:
+    return "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path).removeprefix(".")
+
+
+def _leaf_events(root: dict) -> list[dict]:
+    leaves = ((_shown(path), *_scalar(node)) for path, node in _nodes(root) if not isinstance(node, dict | list))
+    return [dict(zip(("path", "kind", "text"), leaf, strict=True)) for leaf in sorted(leaves, key=lambda e: e[0])]
 
 
 SLOT_EVENTS = ArrayType(
@@ -100,7 +106,7 @@ SLOT_EVENTS = ArrayType(
 def _flatten_nested(values: pd.Series) -> pd.Series:
     def flat(text: str):
         value = _load(text)
-        return sorted(_flatten(value, "", []), key=lambda e: e["path"]) if isinstance(value, dict) else None
+        return _leaf_events(value) if isinstance(value, dict) else None
 
     return values.map(lambda t: None if t is None else flat(t))
 
@@ -121,18 +127,16 @@ def slot_events(slots_text: Column, slot_str: Column, slot_types: Column) -> Col
     return F.when(nested, _flatten_nested(F.when(nested, slots_text))).otherwise(flat)
 
 
-def _ancestors(items, out: list) -> list:
-    for item in items:
-        if isinstance(item, str):
-            out.append(item)
-        elif isinstance(item, dict):
-            out += [item[k] for k in C.ANCESTOR_KEYS if isinstance(item.get(k), str) and item[k]]
-            inner = item.get("provenance")
-            if isinstance(inner, dict):
-                out += [inner[k] for k in C.ANCESTOR_PROVENANCE_KEYS if isinstance(inner.get(k), str) and inner[k]]
-            if isinstance(item.get("derived_from"), list):
-                _ancestors(item["derived_from"], out)
-    return out
+def _names_ancestor(path: tuple, text: str) -> bool:
+    """A text that is an ancestor itself, or an identifying field of one, at any depth of ``derived_from`` lists."""
+    own = 1  # steps from the list to the item, then from an item to one of its own ancestors
+    while path[own : own + 1] == ("derived_from",) and isinstance(path[own + 1], int):
+        own += 2
+    field = path[own:]
+    if not field:
+        return True
+    names = C.ANCESTOR_PROVENANCE_KEYS if field[0] == "provenance" and len(field) == 2 else C.ANCESTOR_KEYS if len(field) == 1 else ()
+    return text != "" and field[-1] in names
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -141,7 +145,9 @@ def ancestor_ids(values: pd.Series) -> pd.Series:
 
     def flat(text: str):
         value = _load(text)
-        return _ancestors(value, []) if isinstance(value, list) else []
+        if not isinstance(value, list):
+            return []
+        return [node for path, node in _nodes(value) if isinstance(node, str) and _names_ancestor(path, node)]
 
     return values.map(lambda t: None if t is None else flat(t))
 

@@ -197,8 +197,12 @@ def canonical_url(folded: Column) -> Column:
 
 def canonical_number(text: Column) -> Column:
     stripped = strip_ws(text)
-    shown = F.regexp_replace(stripped.cast("double").cast("string"), "0+$", "")
-    return F.when(stripped.rlike(r"(?U)^[+-]?\d+(?:\.\d+)?$"), F.regexp_replace(shown, r"\.$", ""))
+    # plain digits throughout: sign, whole part without leading zeros, fraction without trailing ones
+    part = lambda i: F.regexp_extract(stripped, r"(?U)^([+-]?)(\d+)(?:\.(\d+))?$", i)
+    whole, fraction = F.regexp_replace(part(2), "^0+(?=.)", ""), F.regexp_replace(part(3), "0+$", "")
+    shown = F.concat(whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
+    sign = F.when((part(1) == "-"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(stripped.rlike(r"(?U)^[+-]?\d+(?:\.\d+)?$"), F.concat(sign, shown))
 
 
 def canonical_date(text: Column) -> Column:

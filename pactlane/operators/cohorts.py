@@ -64,7 +64,7 @@ def cohort_summary(seeds: DataFrame) -> DataFrame:
     """Seeds, splits and families per cohort (source mode and status)."""
     at = lambda k: F.coalesce(F.element_at("provenance", k), F.lit("none"))
     return seeds.groupBy(at("source_mode").alias("source_mode"), at("status").alias("status"), "split").agg(
-        F.count("*").alias("seeds"), F.count_distinct(at("candidate_family")).alias("families")
+        F.count("*").alias("seeds"), F.count_distinct(F.coalesce(*[F.element_at("provenance", k) for k in C.FAMILY_KEYS], F.lit("none"))).alias("families")
     )
 
 

@@ -45,6 +45,18 @@ def beside(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
+def facts_beside(facts: DataFrame, rows: DataFrame) -> DataFrame:
+    """A one-row aggregate beside each of ``rows``; without rows once, with ``absent`` true."""
+    marked = rows.withColumn("__one", F.lit(1)).withColumn("absent", F.lit(False))
+    out = facts.withColumn("__one", F.lit(1)).join(marked, "__one", "left").drop("__one")
+    return out.withColumn("absent", F.col("absent").isNull())
+
+
+def ranked_all(df: DataFrame, groups: list[str], order: list, rank: str) -> DataFrame:
+    """Every row with its rank in its group."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+
+
 def stack_columns(df: DataFrame, keep: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     """Turn value columns into (name, value) rows in one narrow step."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in columns]))

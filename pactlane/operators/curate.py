@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import contract_valid, json_literal, parse_contract
-from pactlane.operators.common import beside, count_if, examples, grouping_counts, stack_columns, union_all
+from pactlane.operators.common import beside, facts_beside, count_if, examples, grouping_counts, stack_columns, union_all
 
 SLOT_JSON = "array<struct<k:string,j:string>>"
 
@@ -63,7 +63,7 @@ def _public(c: Column, task: str, confirm: bool, reason: str | None = None) -> C
 def canonical_search(c: Column) -> tuple[Column, Column]:
     """(applies, query): whitespace-free query of a public read-only search."""
     command = c["normalized_command"]
-    suffix = F.when(command.startswith(C.SEARCH_PREFIX), T.compact(F.substring(command, 3, 1_000_000_000))).otherwise(F.lit(""))
+    suffix = F.when(command.startswith(C.SEARCH_PREFIX), T.compact(command.substr(F.lit(3), F.length(command)))).otherwise(F.lit(""))
     slot = F.when(F.element_at(c["slot_types"], "query") == "STRING", T.compact(F.element_at(c["slot_str"], "query")))
     query = F.when(suffix != "", suffix).otherwise(F.coalesce(slot, F.lit("")))
     return _public(c, "search", False) & (query != ""), query
@@ -109,7 +109,8 @@ def expand_rows(seeds: DataFrame, public_safe: bool = True) -> DataFrame:
     return df.select(
         F.when(n == 0, F.col("id")).otherwise(F.concat_ws("-aug-", "id", n)).alias("id"),
         "split",
-        (F.col("ordinal") * 1000 + n).alias("ordinal"),
+        "ordinal",
+        n.alias("variant"),
         F.col("text").alias("input_text"),
         "target",
         rebuilt(F.col("provenance"), F.element_at("provenance", "source_id"), mode, public_safe, label).alias("provenance"),
@@ -167,7 +168,7 @@ def rejections(c: Column, public_safe: Column) -> Column:
         ("unsafe_allowance", always, render_contract(c, slots, safety_allow=~c["safety_allow"], **why("unsafe_allowance"))),
         ("missing_confirmation", c["confirmation_required"], render_contract(
             c, slots, confirmation_required=F.lit(False), **why("missing_confirmation"))),
-        ("missing_slot", always, render_contract(c, F.slice(slots, 2, 1_000_000), **why("missing_slot"))),
+        ("missing_slot", always, render_contract(c, F.filter(slots, lambda _s, i: i > 0), **why("missing_slot"))),
         ("wrong_slot", always, render_contract(c, wrong, **why("wrong_slot"))),
         ("decomposed_search_slots", public_safe & _public(c, "search", False) & query.rlike(weather), render_contract(
             c, decomposed, **why("decomposed_search_slots"))),
@@ -208,7 +209,8 @@ def preference_pairs(rows: DataFrame) -> DataFrame:
     return df.select(
         F.concat_ws("-", "id", "r.category").alias("id"),
         "split",
-        (F.col("ordinal") * 100 + F.col("n")).alias("ordinal"),
+        "ordinal",
+        F.col("n").alias("variant"),
         "input_text",
         F.col("target").alias("chosen"),
         F.col("r.rejected").alias("rejected"),
@@ -343,13 +345,14 @@ def artifact_failures(rows: DataFrame, pairs: DataFrame, manifest: DataFrame) ->
     row_f = check_rows(rows).where("violation IS NOT NULL").select("id", F.lit("schema").alias("category"), F.col("violation").alias("message"))
     pair_f = check_pairs(pairs).where("violation IS NOT NULL").select("id", F.lit("preference_pair").alias("category"), F.col("violation").alias("message"))
     counted = beside(rows.agg(F.count("*").alias("rows")), pairs.agg(F.count("*").alias("pairs")))
-    joined = beside(manifest, counted)
+    joined = facts_beside(counted, manifest)
     manifest_f = joined.select(
-        F.col("manifest_id").alias("id"),
+        F.coalesce("manifest_id", F.lit("manifest")).alias("id"),
         F.lit("manifest").alias("category"),
         F.explode(
             F.array_compact(
                 F.array(
+                    F.when(F.col("absent"), F.lit("manifest is missing")),
                     F.when(F.col("sft_rows") != F.col("rows"), F.lit("sft_rows count mismatch")),
                     F.when(F.col("preference_pairs") != F.col("pairs"), F.lit("preference_pairs count mismatch")),
                 )
@@ -375,7 +378,7 @@ def rejection_counts(pairs: DataFrame) -> DataFrame:
 def preference_slices(pairs: DataFrame, k: int = 5) -> DataFrame:
     """Zero-filled pair count per slice with the first five ids."""
     lookup = F.create_map(*[F.lit(x) for kv in C.REJECTION_SLICE.items() for x in kv])
-    df = pairs.select("id", "ordinal", F.element_at(lookup, F.col("rejection_reason")).alias("slice"))
+    df = pairs.select("id", F.struct("ordinal", "variant").alias("ordinal"), F.element_at(lookup, F.col("rejection_reason")).alias("slice"))
     agg = df.agg(*[count_if(F.col("slice") == s).alias(s) for s in C.PREFERENCE_SLICES])
     counts = stack_columns(agg, [], list(C.PREFERENCE_SLICES), "slice", "pair_count")
     return counts.join(examples(df, ["slice"], "ordinal", "id", k, "examples"), "slice", "left").withColumn(
@@ -525,7 +528,7 @@ def prompt_snapshot(chat: DataFrame) -> DataFrame:
 def select_training_rows(rows: DataFrame, source_ids: DataFrame | None, limit: int | None) -> DataFrame:
     """Rows of the wanted source ids, then the first N in input order."""
     df = rows if source_ids is None else rows.join(source_ids, "source_id", "left_semi")
-    return df if limit is None else df.orderBy("ordinal", "id").limit(limit)
+    return df if limit is None else df.orderBy("ordinal", *[c for c in ("variant",) if c in df.columns], "id").limit(limit)
 
 
 def selection_record(rows: DataFrame, selected: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import fields_equal, is_one_json_value, raw_field
-from pactlane.operators.common import count_if, examples, first_k
+from pactlane.operators.common import count_if, examples, first_k, ranked_all
 from pactlane.operators.evaluate import permissive_valid
 
 KEEP = ["arm", "id", "ordinal", "split", "source_id"]
@@ -260,7 +260,7 @@ def residual_families(typed: DataFrame, by: list[str]) -> DataFrame:
     counts = res.groupBy(*by, "family").agg(F.count("*").alias("residuals"))
     grid = total.select(*by, "total", F.explode(F.array(*[F.lit(f) for f in C.RESIDUAL_FAMILIES])).alias("family"))
     shown = examples(
-        res.select(*by, "family", (F.col("ordinal") * 1000 + F.col("position")).alias("place"), T.safe_id_runs(F.col("id")).alias("row_id")),
+        res.select(*by, "family", F.struct("ordinal", "position").alias("place"), T.safe_id_runs(F.col("id")).alias("row_id")),
         [*by, "family"], "place", "row_id", 3, "examples",
     )
     out = grid.join(counts, [*by, "family"], "left").join(shown, [*by, "family"], "left")
@@ -347,7 +347,7 @@ def residual_clusters(records: DataFrame, k: int = 5) -> DataFrame:
     name = F.substring_index("task_family", "|", 1)
     ranked = ranked.withColumn("short_name", name)
     order = [F.desc("residual_rows"), F.desc("residual_fields"), F.col("task_family"), F.col("field_path"), F.col("category")]
-    return first_k(ranked, ["arm"], order, 2_000_000_000, "cluster_rank")
+    return ranked_all(ranked, ["arm"], order, "cluster_rank")
 
 
 def drift_counts(records: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def target_families(records: DataFrame) -> DataFrame:
     name = F.substring_index("task_family", "|", 1)
     agg = agg.withColumn("short_name", name).withColumn("is_safety", (name == "blocked").cast("int"))
     order = [F.col("is_safety"), F.desc("residual_rows"), F.desc("residual_fields"), F.col("task_family")]
-    ranked = first_k(agg, ["arm"], order, 2_000_000_000, "priority")
+    ranked = ranked_all(agg, ["arm"], order, "priority")
     reason = (
         F.when(F.col("priority") == 1, F.lit("selected"))
         .when(name == "blocked", F.lit("defer_to_dedicated_safety_boundary_phase"))
@@ -519,4 +519,4 @@ def remediation_ranking(layered: DataFrame, typed: DataFrame) -> DataFrame:
     total = agg.groupBy("arm").agg(F.sum("residuals").alias("total"))
     out = agg.join(total, "arm").withColumn("proportion", F.col("residuals") / F.col("total")).drop("total")
     first = (F.col("target") != "unsafe_false_negative").cast("int")
-    return first_k(out, ["arm"], [first, F.desc("residuals"), F.col("target")], 2_000_000_000, "priority")
+    return ranked_all(out, ["arm"], [first, F.desc("residuals"), F.col("target")], "priority")

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
@@ -15,46 +15,63 @@ from pactlane.functions.canonical import has_key_fragment, slot_events, stable_h
 from pactlane.operators.common import count_if, first_k, flag, grouping_counts, rate
 from pactlane.operators.leakscan import first_unsafe
 
-SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+def _kept(symbols: bool):
+    """Arrow helper: for every source character what is left of it after NFKC, case folding and the
+    removal of separators (an empty string where nothing is)."""
 
+    def of(ch: str) -> str:
+        parts = unicodedata.normalize("NFKC", ch).casefold()
+        gone = "PZS" if symbols else "PZ"
+        return "".join(p for p in parts if unicodedata.category(p)[0] not in gone and not p.isspace())
 
-def _folded(text: str, symbols: bool) -> tuple[str, list[int]]:
-    """Per-character NFKC + case fold without separators, with the source index of every kept character."""
-    chars, index = [], []
-    for i, ch in enumerate(text):
-        for out in unicodedata.normalize("NFKC", ch).casefold():
-            cat = unicodedata.category(out)[0]
-            if not (out.isspace() or cat in "PZ" or (symbols and cat == "S")):
-                chars.append(out)
-                index.append(i)
-    return "".join(chars), index
+    def apply(texts: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        for ch in set().union(*(t for t in texts if t is not None)):
+            known[ch] = of(ch)
+        return texts.map(lambda t: None if t is None else [known[ch] for ch in t])
 
+    return F.pandas_udf(apply, ArrayType(StringType()))
 
-def _find(value: str, source: str, symbols: bool) -> list[dict]:
-    wanted, _ = _folded(value, symbols)
-    body, index = _folded(source, symbols)
-    spans, at = set(), body.find(wanted) if wanted else -1
-    while at >= 0:
-        start, end = index[at], index[at + len(wanted) - 1] + 1
-        if _folded(source[start:end], symbols)[0] == wanted:
-            spans.add((start, end))
-        at = body.find(wanted, at + 1)
-    return [{"start": s, "end": e} for s, e in sorted(spans)]
 
+def _starts(value: Column, body: Column) -> Column:
+    """Positions (from 0) at which ``value`` starts in ``body``, overlapping ones too, in one pass: the
+    body is split in front of every occurrence and the lengths of the pieces are added up."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(body, quoted, -1)
+    begin = F.when(body.startswith(value), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    first = F.struct(begin.alias("found"), F.length(pieces[0]).alias("at"))
+    add = lambda acc, p: F.struct(F.concat(acc["found"], F.array(acc["at"])).alias("found"), (acc["at"] + F.length(p)).alias("at"))
+    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, add, lambda acc: acc["found"])
 
-def _span_udf(symbols: bool):
-    def apply(values: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or s is None else _find(v, s, symbols) for v, s in zip(values, sources, strict=True)])
 
-    return F.pandas_udf(apply, SPANS)
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,end:int>>")
+
+
+def with_normalized_spans(df: DataFrame, out: str, value: Column, source: Column, symbols: bool = False) -> DataFrame:
+    """Add ``out``: half-open source spans whose folded text equals the folded value."""
+    df = df.withColumns({"__wanted": F.array_join(_kept(symbols)(value), ""), "__chars": _kept(symbols)(source)})
+    wanted, chars = F.col("__wanted"), F.col("__chars")
+    body = F.array_join(chars, "")
+    # source index of every kept character
+    origin = F.flatten(F.transform(chars, lambda c, i: F.array_repeat(i, F.length(c))))
+    n = F.length(wanted)
+
+    def span(start: Column) -> Column:
+        return F.struct(F.get(origin, start).cast("int").alias("start"), (F.get(origin, start + n - 1) + 1).cast("int").alias("end"))
+
+    found = F.array_sort(F.array_distinct(F.transform(_starts(wanted, body), span)))
+    whole = F.filter(found, lambda s: F.array_join(F.slice(chars, s["start"] + 1, s["end"] - s["start"]), "") == wanted)
+    some = (n > 0) & body.contains(wanted)
+    spans = F.when(some, whole).otherwise(_no_spans())
+    return df.withColumn(out, F.when(wanted.isNotNull() & chars.isNotNull(), spans)).drop("__wanted", "__chars")
 
 
 def exact_spans(value: Column, source: Column) -> Column:
     """All (also overlapping) occurrences as half-open code-point spans."""
     n = F.length(value)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(source) - n + 1, F.lit(1))), lambda i: source.substr(i, n) == value)
-    spans = F.transform(starts, lambda i: F.struct((i - 1).cast("int").alias("start"), (i - 1 + n).cast("int").alias("end")))
-    return F.when(source.contains(value) & (n > 0), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    spans = F.transform(_starts(value, source), lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end")))
+    return F.when(source.contains(value) & (n > 0), spans).otherwise(_no_spans())
 
 
 def span_holds(source: Column, start: Column, end: Column, text: Column) -> Column:
@@ -92,7 +109,7 @@ def verify(slots: DataFrame, policy: DataFrame | None = None) -> DataFrame:
     df = df.withColumn("exact", F.when(usable, exact_spans(F.col("text"), F.col("source_text"))))
     n = F.coalesce(F.size("exact"), F.lit(0))
     look = usable & (n == 0)
-    df = df.withColumn("folded", _span_udf(False)(F.when(look, F.col("text")), F.when(look, F.col("source_text"))))
+    df = with_normalized_spans(df, "folded", F.when(look, F.col("text")), F.when(look, F.col("source_text")))
     m = F.when(look, F.size("folded")).otherwise(F.lit(0))
     status = (
         F.when(~F.col("enabled"), F.lit(C.OUT_OF_SCOPE))
@@ -214,7 +231,7 @@ def scope_metrics(audited: DataFrame, condition: Column) -> DataFrame:
 
 def collision_audit(diags: DataFrame) -> DataFrame:
     """Trusted values whose symbol-free form occurs elsewhere too are downgraded."""
-    df = diags.where("trusted").withColumn("loose", _span_udf(True)("text", "source_text"))
+    df = with_normalized_spans(diags.where("trusted"), "loose", F.col("text"), F.col("source_text"), symbols=True)
     every = F.array_distinct(F.concat(F.array("span"), "loose"))
     folded_empty = F.col("text").rlike(r"(?U)^[\s\p{P}\p{Z}\p{S}]*$")
     status = (

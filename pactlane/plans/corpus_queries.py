@@ -9,7 +9,7 @@ from pactlane.operators import leakscan as L
 from pactlane.operators import neardup as N
 from pactlane.operators.split import stratified_split
 from pactlane.plans import inputs
-from pactlane.plans.inputs import spread, table
+from pactlane.plans.inputs import table
 from pactlane.plans.registry import query
 from pactlane.plans.shared import written
 
@@ -23,7 +23,7 @@ NOTE = (
 
 
 def files(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("documents/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     notes = table(spark, sf_dir, "events").selectExpr("'events/' || event_id || '.jsonl' AS path", f"{NOTE} AS text")
     return docs.unionByName(pages).unionByName(notes)
@@ -80,7 +80,7 @@ def unsafe_records(spark, sf_dir):
 
 
 def held_docs(spark, sf_dir):
-    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = docs.join(labels, "doc_id", "left_semi")
     rest = docs.join(labels, "doc_id", "left_anti")
     as_keys = lambda df: df.select(
@@ -245,12 +245,12 @@ def ordered_line_hash(spark, sf_dir):
 def user_turns(spark, sf_dir):
     """Whole user turns as candidate seed texts."""
     df = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return df.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    return df.select(F.format_string("%012d-%08d", "conv_id", "turn").alias("key"), "text")
 
 
 @query(
     "near_dup_pairs",
-    """WITH u AS (SELECT text, min(conv_id * 1000 + turn) AS k FROM conversations WHERE role = 'user' GROUP BY text)
+    """WITH u AS (SELECT text, min(printf('%012d-%08d', conv_id, turn)) AS k FROM conversations WHERE role = 'user' GROUP BY text)
 SELECT a.k AS i, b.k AS j, CAST(levenshtein(a.text, b.text) AS INT) AS distance, levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text))::DOUBLE AS ratio
 FROM u a JOIN u b ON a.k < b.k AND abs(length(a.text) - length(b.text)) < 0.3 * greatest(length(a.text), length(b.text))
 WHERE levenshtein(a.text, b.text) < 0.3::DOUBLE * greatest(length(a.text), length(b.text))""",
@@ -277,7 +277,7 @@ SELECT left_key, right_key, c / (na + nb - c)::DOUBLE AS jaccard FROM x WHERE c
 )
 def jaccard_overlaps(spark, sf_dir):
     """Held-out documents with a reference document of 3-gram Jaccard >= 0.8."""
-    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     side = lambda how: docs.join(labels, "doc_id", how).select(F.col("doc_id").alias("key"), "text")
     return N.jaccard_pairs(side("left_semi"), side("left_anti"))
 

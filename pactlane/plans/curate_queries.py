@@ -51,7 +51,7 @@ HEAD = f"WITH {inputs.sql_prelude()},{TARGET}"
     "training_rows",
     HEAD
     + """, x AS (SELECT id, split, ordinal, t, unnest([{'n': 0, 's': input_text}, {'n': 1, 's': '请' || input_text}, {'n': 2, 's': input_text || '。'}]) AS v FROM target)
-SELECT CASE WHEN v.n = 0 THEN id ELSE id || '-aug-' || v.n END AS id, split, ordinal * 1000 + v.n AS ordinal, v.s AS input_text, t AS target,
+SELECT CASE WHEN v.n = 0 THEN id ELSE id || '-aug-' || v.n END AS id, split, ordinal, v.n AS variant, v.s AS input_text, t AS target,
  id AS source_id, CASE WHEN v.n = 0 THEN 'sanitized_seed' ELSE 'schema_preserving_augmentation' END AS source_mode,
  CASE WHEN v.n = 0 THEN 'original' ELSE 'paraphrase-' || v.n END AS augmentation FROM x""",
 )
@@ -59,7 +59,7 @@ def training_rows(spark, sf_dir):
     """Expanded training rows with canonical targets."""
     p = lambda k: F.element_at("provenance", k).alias(k)
     return rows(spark, sf_dir).select(
-        "id", "split", "ordinal", "input_text", "target", p("source_id"), p("source_mode"), p("augmentation")
+        "id", "split", "ordinal", "variant", "input_text", "target", p("source_id"), p("source_mode"), p("augmentation")
     )
 
 
@@ -237,7 +237,8 @@ def integration_preview(spark, sf_dir):
 
 @query(
     "cohort_summary",
-    HEAD + """ SELECT 'sanitized_seed' AS source_mode, 'promoted' AS status, split, count(*) AS seeds, CAST(1 AS BIGINT) AS families FROM b5 GROUP BY split""",
+    HEAD + """ SELECT 'sanitized_seed' AS source_mode, 'promoted' AS status, split, count(*) AS seeds, count(DISTINCT source_id) AS families
+ FROM (SELECT split, 'fam-' || kind || '-' || CAST(k AS STRING) AS source_id FROM b5) GROUP BY split""",
 )
 def cohort_summary(spark, sf_dir):
     """Seeds per cohort and split."""

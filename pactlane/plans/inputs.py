@@ -14,12 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the scan yields fewer splits than cores (one small file); else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 BASE = [
     ("id", "'evt-' || CAST(event_id AS STRING)"),
     ("ordinal", "event_id"),
@@ -145,7 +139,9 @@ def add(df: DataFrame, exprs) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
+    # one row group holds many events, and each becomes several long texts: deal the narrow columns out first
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").repartition(parts, "event_id")
     df = df.selectExpr(*[f"{sql} AS {name}" for name, sql in BASE])
     df = add(df, PARTS[:7])
     df = add(df, PARTS[7:])

@@ -13,9 +13,10 @@ from pactlane.functions.contract import contract_valid, is_one_json_value, parse
 def read_jsonl(spark: SparkSession, path: str, fail: bool = True) -> DataFrame:
     """Non-blank lines of row files as (file, ordinal, raw); bad rows fail or are left to ``bad_rows``.
 
-    ``ordinal`` follows file and line order (a partition holds a contiguous part of one file).
+    ``ordinal`` is a text that sorts by file name, place of the block in the file and line in the block.
     """
-    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("raw"))
+    place = F.format_string("%020d-%011d", F.col("_metadata.file_block_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.concat_ws("-", "_metadata.file_path", place).alias("ordinal"), F.col("value").alias("raw"))
     df = df.where(~F.col("raw").rlike(r"(?U)^[\s\x1c-\x1f]*$"))
     good = is_one_json_value(F.col("raw")) & F.json_object_keys("raw").isNotNull()
     if not fail:

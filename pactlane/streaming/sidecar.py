@@ -40,11 +40,13 @@ def outcomes(preds: DataFrame, policy: DataFrame, enabled: bool = True, policy_o
     parsed = contract_valid(parse_contract(preds, "raw", "p"), "p")
     status, code = hook_status(enabled, policy_ok)
     parsed = parsed.withColumn("hook_status", status).withColumn("error_code", code)
-    usable = parsed.where("hook_status = 'COMPLETED'")
-    cars = sidecars(diagnostics(slot_table(usable), policy)).select("arm", "id", "trusted_count", "candidate_count", "slot_diagnostics")
-    return parsed.select("arm", "id", "ordinal", "split", F.sha2("input_text", 256).alias("input_hash"), "hook_status", "error_code").join(
-        cars, ["arm", "id"], "left"
-    ).na.fill(0, ["trusted_count", "candidate_count"])
+    # equal predictions share one sidecar, found again by their content: ids may repeat within a batch
+    parsed = parsed.withColumn("row_key", F.sha2(F.to_json(F.struct("arm", "id", "split", "input_text", "raw")), 256))
+    usable = parsed.where("hook_status = 'COMPLETED'").withColumn("id", F.col("row_key")).dropDuplicates(["row_key"])
+    cars = sidecars(diagnostics(slot_table(usable), policy)).select(F.col("id").alias("row_key"), "trusted_count", "candidate_count", "slot_diagnostics")
+    return parsed.select("arm", "id", "ordinal", "split", F.sha2("input_text", 256).alias("input_hash"), "hook_status", "error_code", "row_key").join(
+        cars, "row_key", "left"
+    ).drop("row_key").na.fill(0, ["trusted_count", "candidate_count"])
 
 
 def outcome_summary(rows: DataFrame) -> DataFrame:
