@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlane.functions import canonical as J
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import contract_valid, json_literal, parse_contract
-from pactlane.operators.common import beside, union_all
+from pactlane.operators.common import beside, facts_beside, union_all
 
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
-MAX_ORDERED = 5_000_000
+RANGE_BITS = 16  # ordinals of a range that is numbered at a time
+FAN_BITS = 10  # digests joined into one of the next level: 1024
+LEVELS = 7  # 2**70 values
 
 
 def _text(v: str, path: str) -> Column:
@@ -53,22 +55,32 @@ def content_hash(raw: Column) -> Column:
     return F.sha2(J.row_hash_payload(raw), 256)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Add ``place``: 0, 1, 2 ... in ``ordinal`` order. Ordinals are integers; ranges of them are counted,
+    the counts are added up over the ranges, and rows are ranked only inside their range."""
+    df = df.withColumn("__range", F.shiftright("ordinal", RANGE_BITS))
+    counts = df.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("ordinal")) - 1
+    out = df.join(offsets, F.col("__range") == F.col("__r")).withColumn("place", F.col("__before") + rank)
+    return out.drop("__range", "__r", "__before")
+
+
 def ordered_hash(df: DataFrame, value: str, style: str = "json") -> DataFrame:
-    """SHA-256 over values in ``ordinal`` order, as a JSON list or newline-ended lines.
+    """Digest over values in ``ordinal`` order, of JSON literals or of newline-ended lines.
 
-    A digest over one ordered list cannot be split, so it is meant for held-out sets and refuses
-    larger inputs instead of collecting them.
+    A tree of digests: every value is hashed, and 1024 neighbours at a time are joined by commas and
+    hashed again until one root is left. It differs from a digest over one long list on purpose, since
+    that can only be made in one task; no task here holds more than 1024 digests.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", value))), lambda e: e[value])
-    size = F.count(value)
-    if style == "json":
-        body = F.concat(F.lit("["), F.array_join(F.transform(listed, json_literal), ","), F.lit("]"))
-    else:
-        body = F.concat(F.array_join(listed, "\n"), F.when(size > 0, F.lit("\n")).otherwise(F.lit("")))
-    total = df.select(F.count("*").alias("n")).first()["n"]
-    if total > MAX_ORDERED:
-        raise ValueError(f"{total} values are too many for one ordered digest; hash the row hashes per bucket instead")
-    return df.agg(size.alias("row_count"), F.sha2(body, 256).alias("ordered_hash"))
+    leaf = json_literal(F.col(value)) if style == "json" else F.concat(F.col(value), F.lit("\n"))
+    level = numbered(df.where(F.col(value).isNotNull())).select("place", F.sha2(leaf, 256).alias("h"), F.lit(1).cast("bigint").alias("n"))
+    for _ in range(LEVELS):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda e: e["h"]), ",")
+        level = level.groupBy(F.shiftright("place", FAN_BITS).alias("up")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+        level = level.select(F.col("up").alias("place"), "h", "n")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("ordered_hash"))
 
 
 def freeze(raw_rows: DataFrame) -> DataFrame:
@@ -187,11 +199,18 @@ def forbidden_ancestry(parsed: DataFrame, pool: DataFrame) -> DataFrame:
 def manifest_failures(raw_rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest row (JSON text ``raw``) against the one-row aggregate of the set."""
     facts = freeze_manifest(raw_rows)
-    hashes = freeze(raw_rows).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content_hash"))), lambda e: e["content_hash"]).alias("hashes"))
-    m = beside(beside(manifest.select("raw", F.try_parse_json("raw").alias("__m")), facts), hashes)
+    manifest = manifest.select("raw", F.sha2("raw", 256).alias("m_id"))
+    listed = manifest.select("m_id", F.posexplode(F.from_json(F.get_json_object("raw", "$.content_hashes"), "array<string>")).alias("place", "h"))
+    own = numbered(freeze(raw_rows).select("ordinal", "content_hash")).select("place", "content_hash")
+    # a list that names every row's hash in order: as many entries, and each equal to the row's at its place
+    agree = listed.distinct().join(own, "place", "left").groupBy("m_id").agg(
+        F.count("*").alias("listed"), F.coalesce(F.bool_and(F.coalesce(F.col("h") == F.col("content_hash"), F.lit(False))), F.lit(True)).alias("equal")
+    )
+    m = facts_beside(facts, manifest.select("raw", "m_id", F.try_parse_json("raw").alias("__m"))).join(agree, "m_id", "left")
     get = lambda path, kind: F.try_variant_get("__m", path, kind)
     text = lambda path: _text("__m", path)
     declared = F.from_json(F.get_json_object("raw", "$.content_hashes"), "array<string>")
+    matched = (F.coalesce("listed", F.lit(0)) == F.col("row_count")) & F.coalesce("equal", F.lit(True))
     entry = lambda cond, category, message: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(category).alias("category"), F.lit(message).alias("message")))
     frozen = (F.schema_of_variant(get("$.frozen", "variant")) == "BOOLEAN") & get("$.frozen", "boolean")
     hash_rules = [
@@ -206,10 +225,12 @@ def manifest_failures(raw_rows: DataFrame, manifest: DataFrame) -> DataFrame:
         entry(F.coalesce(text("$.created_at"), text("$.frozen_at")).isNull(), "manifest_timestamp_missing", "manifest must declare created_at or frozen_at"),
         entry(F.coalesce(F.size(F.json_object_keys(F.get_json_object("raw", "$.provenance_summary"))), F.lit(0)) <= 0, "manifest_provenance_summary_missing", "provenance_summary must be a non-empty object"),
         entry(F.coalesce(*[text(f"$.{f}") for f in C.MANIFEST_HASH_FIELDS]).isNull(), "manifest_hash_mismatch", "manifest must declare a set hash"),
-        entry(declared.isNotNull() & (declared != F.col("hashes")), "manifest_hash_mismatch", "content_hashes must match row hashes in order"),
+        entry(declared.isNotNull() & ~matched, "manifest_hash_mismatch", "content_hashes must match row hashes in order"),
         *hash_rules,
     )
     mid = F.coalesce(text("$.manifest_id"), F.lit("manifest"))
+    missing = F.array(entry(F.col("absent"), "manifest_missing", "a manifest is required"))
+    rules = F.when(F.col("absent"), missing).otherwise(rules)
     return m.select(mid.alias("row_id"), F.explode(F.array_compact(rules)).alias("f")).select("row_id", "f.*")
 
 

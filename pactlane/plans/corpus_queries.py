@@ -203,9 +203,14 @@ def forbidden_ancestry(spark, sf_dir):
     return H.forbidden_ancestry(H.read_rows(lockbox_rows(spark, sf_dir)), pool)
 
 
-@query("holdout_manifest")
+@query(
+    "holdout_manifest",
+    """SELECT 'm-1' AS row_id, unnest(['manifest_count_mismatch', 'manifest_timestamp_missing', 'manifest_hash_mismatch']) AS category,
+ unnest(['manifest row_count must match lockbox row count', 'manifest must declare created_at or frozen_at', 'content_hashes must match row hashes in order']) AS message
+ FROM (SELECT count(*) AS n FROM events WHERE event_id % 10 >= 8) WHERE n > 1""",
+)
 def holdout_manifest(spark, sf_dir):
-    """A manifest with a wrong count and no timestamp against the frozen set."""
+    """A manifest with a wrong count, no timestamp and too short a list against the frozen set."""
     rows = lockbox_rows(spark, sf_dir)
     facts = H.freeze_manifest(rows)
     manifest = facts.select(
@@ -213,29 +218,38 @@ def holdout_manifest(spark, sf_dir):
             F.struct(
                 F.lit("m-1").alias("manifest_id"), F.lit(True).alias("frozen"), (F.col("row_count") + 1).alias("row_count"), "family_count",
                 F.lit("v1").alias("schema_version"), F.create_map(F.lit("a"), F.lit(1)).alias("provenance_summary"), F.col("ordered_hash").alias("lockbox_hash"),
+                F.array(F.lit("0" * 64)).alias("content_hashes"),
             )
         ).alias("raw")
     )
     return H.manifest_failures(rows, manifest)
 
 
+def tree_sql(leaf: str, source: str, order: str) -> str:
+    """The digest tree in SQL: leaves, then 1024 at a time."""
+    levels = [f"t0 AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS p, sha256({leaf}) AS h, 1 AS n FROM {source})"]
+    for k in range(1, H.LEVELS + 1):
+        levels.append(f"t{k} AS (SELECT p >> {H.FAN_BITS} AS p, sha256(string_agg(h, ',' ORDER BY t{k - 1}.p)) AS h, sum(n) AS n FROM t{k - 1} GROUP BY t{k - 1}.p >> {H.FAN_BITS})")
+    return ", ".join(levels)
+
+
 @query(
     "ordered_hash",
-    """SELECT count(*) AS row_count, sha256('[' || string_agg('"' || h || '"', ',' ORDER BY item_id) || ']') AS ordered_hash FROM (SELECT item_id, sha256(text) AS h FROM benchmark)""",
+    f"""WITH {tree_sql("'\"' || sha256(text) || '\"'", "documents", "doc_id")} SELECT CAST(n AS BIGINT) AS row_count, h AS ordered_hash FROM t{H.LEVELS}""",
 )
 def ordered_hash(spark, sf_dir):
-    """ordered hash over the held-out benchmark."""
-    df = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ordinal"), F.sha2("text", 256).alias("h"))
+    """ordered digest over the hashes of all documents."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.sha2("text", 256).alias("h"))
     return H.ordered_hash(df, "h")
 
 
 @query(
     "ordered_line_hash",
-    """SELECT count(*) AS row_count, sha256(string_agg(text || chr(10), '' ORDER BY item_id)) AS ordered_hash FROM benchmark""",
+    f"""WITH {tree_sql("text || chr(10)", "documents", "doc_id")} SELECT CAST(n AS BIGINT) AS row_count, h AS ordered_hash FROM t{H.LEVELS}""",
 )
 def ordered_line_hash(spark, sf_dir):
-    """newline form of the ordered hash."""
-    df = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ordinal"), "text")
+    """newline form of the ordered digest."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
     return H.ordered_hash(df, "text", "lines")
 
 
