@@ -10,7 +10,7 @@ from pactlane.operators import evaluate as E
 from pactlane.operators import projection as V
 from pactlane.plans.evaluation_queries import ARMS, gold, layered, preds, scored
 from pactlane.plans.oracle_parts import LAYER, n, with_rows
-from pactlane.plans.registry import query
+from pactlane.plans.registry import ORACLE, query
 from pactlane.plans.shared import written
 
 RAW = """
@@ -95,34 +95,50 @@ def family_deltas(spark, sf_dir):
 
 
 def all_metrics(spark, sf_dir):
+    """Every strict and layered metric; names that both evaluators use carry ``layered_`` for the second."""
     keys = ["arm", "split"]
-    strict = E.tidy(E.strict_metrics(scored(spark, sf_dir), keys), keys, ["safety_recall", "json_valid_rate", "slot_f1", "slot_f1_soft", "contract_exact_match"])
-    lay = E.tidy(E.layered_metrics(layered(spark, sf_dir), keys), keys, E.LAYERED_COLUMNS)
-    return strict.unionByName(lay)
+    strict = E.tidy(E.strict_metrics(scored(spark, sf_dir), keys), keys, E.METRIC_COLUMNS)
+    lay = E.layered_metrics(layered(spark, sf_dir), keys)
+    again = {c: f"layered_{c}" for c in E.LAYERED_COLUMNS if c in E.METRIC_COLUMNS}
+    lay = lay.withColumnsRenamed(again)
+    return strict.unionByName(E.tidy(lay, keys, [again.get(c, c) for c in E.LAYERED_COLUMNS]))
 
 
 def deltas(spark, sf_dir):
     return P.metric_deltas(all_metrics(spark, sf_dir))
 
 
-@query(
-    "metric_deltas",
-    with_rows(
-        f"""SELECT split, m.n AS metric, max(m.v) FILTER (WHERE arm = 'control') AS control, max(m.v) FILTER (WHERE arm = 'treatment') AS treatment,
- max(m.v) FILTER (WHERE arm = 'treatment') - max(m.v) FILTER (WHERE arm = 'control') AS delta FROM (SELECT arm, split, unnest([
- {{'n': 'contract_exact_match', 'v': {n('exact_ok')} / count(*)::DOUBLE}}, {{'n': 'schema_validity', 'v': {n('ok')} / count(*)::DOUBLE}},
- {{'n': 'executable_contract_pass_rate', 'v': {n('exec_ok')} / count(*)::DOUBLE}}, {{'n': 'safety_recall', 'v': {n('s_tp')}::DOUBLE / nullif({n('s_tp OR s_fn')}, 0)}}]) AS m FROM lay2 GROUP BY arm, split)
-GROUP BY ALL""",
-        LAYER,
-    ),
-)
+def _tall(sql: str, columns, taken=()) -> str:
+    """(arm, split, metric, value) of a wide metrics query."""
+    pairs = ", ".join(f"{{'n': '{'layered_' if c in taken else ''}{c}', 'v': CAST({c} AS DOUBLE)}}" for c in columns)
+    return f"SELECT arm, split, m.n AS metric, m.v AS value FROM (SELECT arm, split, unnest([{pairs}]) AS m FROM ({sql}))"
+
+
+DELTA_SQL = f"""
+tall AS ({_tall(ORACLE["strict_metrics"], E.METRIC_COLUMNS)} UNION ALL {_tall(ORACLE["layered_metrics"], E.LAYERED_COLUMNS, E.METRIC_COLUMNS)}),
+dl AS (SELECT split, metric, max(value) FILTER (WHERE arm = 'control') AS control, max(value) FILTER (WHERE arm = 'treatment') AS treatment,
+ max(value) FILTER (WHERE arm = 'treatment') - max(value) FILTER (WHERE arm = 'control') AS delta FROM tall GROUP BY ALL)"""
+
+
+@query("metric_deltas", f"WITH {DELTA_SQL} SELECT * FROM dl")
 def metric_deltas(spark, sf_dir):
-    """Metric deltas between arms."""
-    wanted = ("contract_exact_match", "schema_validity", "executable_contract_pass_rate", "safety_recall")
-    return deltas(spark, sf_dir).where(F.col("metric").isin(*wanted))
+    """Deltas of every metric between arms."""
+    return deltas(spark, sf_dir)
+
 
+_GATE = " ".join(f"WHEN metric = '{m}' THEN d {op} {limit}::DOUBLE" for m, op, limit in P.GATE)
+_GUARDS = ", ".join(f"'{m}'" for m, _o, _l in P.GATE[2:])
+_FIRST = ", ".join(f"'{m}'" for m in P.PRIMARY)
 
-@query("decision_gate")
+
+@query(
+    "decision_gate",
+    f"""WITH {DELTA_SQL}, g AS (SELECT metric, coalesce(delta, 0) AS d FROM dl WHERE split IN ('dev', 'test')), t AS (SELECT metric, d, CASE {_GATE} ELSE true END AS holds FROM g),
+a AS (SELECT bool_and(metric NOT IN ({_GUARDS}) OR holds) AS gp, bool_and(metric NOT IN ({_FIRST}) OR d >= 0) AS pn, bool_and(holds) AS every,
+ bool_or(metric IN ('slot_value_exact_f1', 'executable_contract_pass_rate') AND d > 0) AS gain FROM t)
+SELECT CASE WHEN NOT gp OR NOT pn THEN 'REGRESSION_OR_GUARDRAIL_FAILURE' WHEN every THEN 'PASS_STEP_MATCHED_PILOT' WHEN gain THEN 'POSITIVE_BUT_INCONCLUSIVE'
+ ELSE 'NO_CANONICAL_DATA_SIGNAL' END AS decision_label, gp AND pn AND every AS passed, gp AS guardrails_pass, pn AS primary_non_regressed FROM a""",
+)
 def decision_gate(spark, sf_dir):
     """Gate label from the deltas."""
     return P.gate(deltas(spark, sf_dir))

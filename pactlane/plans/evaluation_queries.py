@@ -239,17 +239,19 @@ res AS (
 @query(
     "residual_families",
     with_rows(
-        """SELECT t.arm, t.split, f.family, CAST(count(r.id) AS BIGINT) AS residuals, count(r.id) / any_value(t.total)::DOUBLE AS proportion
+        """SELECT t.arm, t.split, f.family, CAST(count(r.id) AS BIGINT) AS residuals, count(r.id) / any_value(t.total)::DOUBLE AS proportion,
+ coalesce(string_agg(r.id, ',' ORDER BY r.rn) FILTER (WHERE r.rn <= 3), '') AS examples
 FROM (SELECT arm, split, count(*) AS total FROM scored GROUP BY ALL) t CROSS JOIN
  (SELECT unnest(['route','task_type','normalized_command','slot_key','slot_value','missing_slot','extra_slot','risk_level','confirmation',
   'success_criteria','allowed_actions','refusal_or_clarify','extra_field','missing_field','invalid_output']) AS family) f
-LEFT JOIN res r ON r.arm = t.arm AND r.split = t.split AND r.family = f.family GROUP BY t.arm, t.split, f.family""",
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY arm, split, family ORDER BY ordinal) AS rn FROM res) r
+ ON r.arm = t.arm AND r.split = t.split AND r.family = f.family GROUP BY t.arm, t.split, f.family""",
         RESIDUALS,
     ),
 )
 def residual_families(spark, sf_dir):
-    """Zero-filled residual families."""
-    return D.residual_families(fully(spark, sf_dir), ["arm", "split"]).drop("examples")
+    """Zero-filled residual families with their first three rows."""
+    return D.residual_families(fully(spark, sf_dir), ["arm", "split"])
 
 
 @query(
