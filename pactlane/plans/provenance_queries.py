@@ -75,7 +75,9 @@ def span_statistics(spark, sf_dir):
     "sidecars",
     with_rows(
         """SELECT arm, id, sha256(any_value(input_text)) AS input_hash, count(*) AS slots, CAST(count(*) FILTER (WHERE status = 'VERIFIED_EXACT_UNIQUE') AS BIGINT) AS trusted_count,
- CAST(count(*) FILTER (WHERE status = 'VERIFIED_NORMALIZED_UNIQUE') AS BIGINT) AS candidate_count FROM ver GROUP BY arm, id""",
+ CAST(count(*) FILTER (WHERE status = 'VERIFIED_NORMALIZED_UNIQUE') AS BIGINT) AS candidate_count,
+ string_agg(d, ';' ORDER BY d) AS diagnostics FROM (SELECT *, concat_ws('/', slot_path, scope_key, status, CASE WHEN status = 'VERIFIED_EXACT_UNIQUE'
+  THEN (instr(input_text, v) - 1) || '-' || (instr(input_text, v) - 1 + length(v)) END) AS d FROM ver) GROUP BY arm, id""",
         SLOTS,
     ),
 )
@@ -85,9 +87,16 @@ def sidecar_rows(spark, sf_dir):
     return cars.select(
         "arm", "id", "input_hash", F.size("slot_diagnostics").cast("bigint").alias("slots"), F.col("trusted_count").cast("bigint").alias("trusted_count"),
         F.col("candidate_count").cast("bigint").alias("candidate_count"),
+        F.array_join(F.array_sort(F.transform("slot_diagnostics", _shown)), ";").alias("diagnostics"),
     )
 
 
+def _shown(e):
+    """One slot diagnostic as text: path, scope, status and, for trusted values, the span."""
+    span = F.when(e["trusted_provenance"], F.concat_ws("-", e["span"]["start"], e["span"]["end"]))
+    return F.concat_ws("/", e["slot_path"], e["scope_key"], e["status"], span)
+
+
 @query("sidecar_privacy")
 def sidecar_privacy(spark, sf_dir):
     """Sidecars that leak gold, text or private values (none)."""
