@@ -282,7 +282,8 @@ def top_field_paths(typed: DataFrame, k: int = 20) -> DataFrame:
 def strict_residuals(rows: DataFrame) -> DataFrame:
     """Field-level records of strict mismatches; an unusable prediction gives one ``schema`` record."""
     g, p = F.col("g"), F.col("p")
-    split_f1 = rows.groupBy("arm", "split").agg(F.avg("slot_f1").alias("__f1"), F.avg("slot_f1_soft").alias("__soft"))
+    # one row for each arm and split (a handful by definition), so the facts are not dealt out by them
+    split_f1 = F.broadcast(rows.groupBy("arm", "split").agg(F.avg("slot_f1").alias("__f1"), F.avg("slot_f1_soft").alias("__soft")))
     soft_only = (F.col("__f1") < 1.0) & (F.col("__soft") >= 1.0)
 
     def category(path: str) -> Column:

@@ -154,8 +154,8 @@ def reference_pool(parsed: DataFrame, source: str) -> DataFrame:
 def overlaps(held: DataFrame, pool: DataFrame, by_family: bool = False) -> DataFrame:
     """One failure per (held-out row, reference row) equal on id, text, normalised text or family.
 
-    Every key becomes (kind, value) rows, so all kinds share one equi join. Values absent from the
-    other side are dropped before the join; AQE splits a hot value.
+    Every key becomes (kind, value) rows, so all kinds share one equi join. The result names every
+    pair, so a text held n times here and m times there gives n * m failures.
     """
 
     def keys(df: DataFrame, ids: Column, keep: list[str]) -> DataFrame:

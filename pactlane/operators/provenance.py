@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -93,15 +93,22 @@ def slot_table(scored: DataFrame, side: str = "p", valid_only: bool = True) -> D
     )
 
 
-def default_policy(spark) -> DataFrame:
-    """The fixed scope rows; any scope not listed is disabled."""
-    return spark.createDataFrame([(k, True) for k in C.ENABLED_SCOPES] + [("blocked:deny:action", False)], "scope_key string, enabled boolean")
+def default_policy(spark=None) -> dict[str, bool]:
+    """The fixed scopes; any scope not listed is disabled."""
+    del spark
+    return dict.fromkeys(C.ENABLED_SCOPES, True) | {"blocked:deny:action": False}
 
 
-def verify(slots: DataFrame, policy: DataFrame | None = None) -> DataFrame:
-    """Add status, match kind, span, candidate count and reason of each slot value."""
+def verify(slots: DataFrame, policy: DataFrame | dict[str, bool] | None = None) -> DataFrame:
+    """Add status, match kind, span, candidate count and reason of each slot value.
+
+    A fixed policy (dict) is a literal of the plan, so slots are not dealt out by scope; a policy
+    table (scope_key, enabled) is joined.
+    """
     if policy is None:
         df = slots.withColumn("enabled", F.lit(True))
+    elif isinstance(policy, dict):
+        df = slots.withColumn("enabled", F.coalesce(F.col("scope_key").isin([k for k, on in policy.items() if on]), F.lit(False)))
     else:
         known = policy.groupBy("scope_key").agg(F.bool_or("enabled").alias("enabled"))
         df = slots.join(known, "scope_key", "left").withColumn("enabled", F.coalesce("enabled", F.lit(False)))
@@ -489,22 +496,28 @@ def key_policy(gold_slots: DataFrame) -> DataFrame:
     return keys.join(total, ["task_type", "route"]).withColumn("rule", rule)
 
 
-def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def latency(df: DataFrame, by: list[str], value: str, fences: int = 255) -> DataFrame:
     """p50 / p95 / p99 / max by the rounded index rule over recorded timings.
 
-    Exact percentiles are taken from value counts (rank by running count), never from one collected list.
+    Exact, without sorting a group in one task: approximate quantiles fence each group's values into
+    ranges, the ranges are counted, and only in the ranges that hold a wanted index are values ranked.
     """
-    from pyspark.sql import Window
-
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    lo = F.col("hi") - F.col("c")
+    quantiles = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    marks = [(k + 1) / (fences + 1) for k in range(fences)]
+    fence = df.groupBy(*by).agg(F.percentile_approx(value, marks, 10 * fences).alias("__fence"))
+    ranged = df.join(fence, by).select(*by, F.col(value).alias("__v"), F.size(F.filter("__fence", lambda x: x < F.col(value))).alias("__range"))
+    values = ranged.groupBy(*by, "__range", "__v").agg(F.count("*").alias("c"))
+    sizes = values.groupBy(*by, "__range").agg(F.sum("c").alias("size"), F.max("__v").alias("top"))
+    w = Window.partitionBy(*by)
+    sizes = sizes.withColumn("hi", F.sum("size").over(w.orderBy("__range"))).withColumn("n", F.sum("size").over(w))
+    index = {name: F.bround((F.col("n") - 1) * q) for name, q in quantiles.items()}
+    inside = lambda i: (i >= F.col("hi") - F.col("size")) & (i < F.col("hi"))
+    held = sizes.select(*by, "__range", (F.col("hi") - F.col("size")).alias("before"), *[F.when(inside(i), i).alias(name) for name, i in index.items()])
+    held = held.where(F.coalesce(*quantiles).isNotNull())
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "__range").orderBy("__v"))
+    ranked = values.join(held, [*by, "__range"]).withColumn("upto", upto)
+    at = lambda name: F.max(F.when((F.col(name) >= F.col("upto") - F.col("c")) & (F.col(name) < F.col("upto")), F.col("__v"))).alias(name)
+    found = ranked.groupBy(*by).agg(*[at(name) for name in quantiles])
+    totals = sizes.groupBy(*by).agg(F.sum("size").cast("bigint").alias("samples"), F.max("top").alias("max"))
+    return totals.join(found, by).select(*by, "samples", *quantiles, "max")
 
-    def at(q: float) -> Column:
-        index = F.bround((F.col("n") - 1) * q)
-        return F.max(F.when((index >= lo) & (index < F.col("hi")), F.col(value)))
-
-    return ranked.groupBy(*by).agg(
-        F.sum("c").cast("bigint").alias("samples"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max")
-    )

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pactlane.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ SESSION_DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
 
 
 def tune(spark: SparkSession) -> None:
+    ship(spark)
     for key, (default, value) in SESSION_DEFAULTS.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, value)

@@ -7,11 +7,16 @@ filled in, and the checkpoint directory is always taken from the session first.
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
 
-def local_session(cores: str = "8", app: str = "pactlane", shuffle_partitions: int = 8) -> SparkSession:
+
+def local_session(cores: str = "8", app: str = "pactlane", shuffle_partitions: int = 8, checkpoint: str | None = None) -> SparkSession:
+    """Local session for tests and the bench; ``checkpoint`` is the shared folder (a new one if not given)."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -19,6 +24,7 @@ def local_session(cores: str = "8", app: str = "pactlane", shuffle_partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", checkpoint or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,6 +34,20 @@ def local_session(cores: str = "8", app: str = "pactlane", shuffle_partitions: i
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors (once per session), which need not have it installed."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="pactlane-")) / "pactlane.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
