@@ -328,8 +328,8 @@ def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     parts = [lambda c: F.xxhash64(c).bitwiseAND(0x7FFFFFFF), lambda c: F.shiftrightunsigned(F.xxhash64(c), 33)]
     rows = rare.groupBy("token").agg(F.count("*").alias("m"), F.min("class").alias("low"), *[F.sum(p("class")).alias(f"s{k}") for k, p in enumerate(parts)])
     rows = rows.where((F.col("s0") != F.col("m") * parts[0]("low")) | (F.col("s1") != F.col("m") * parts[1]("low")))
-    rows = rows.groupBy("m", "low", "s0", "s1").agg(F.min("token").alias("token")).select("token", "m")
-    cells = _in_blocks(rare.join(rows, "token").select("token", "m", "class").distinct(), "token", F.ceil(F.col("m") / SKETCHED_CLASSES))
+    rows = stored(rows.groupBy("m", "low", "s0", "s1").agg(F.min("token").alias("token")).select("token", "m"), "rows")
+    cells = _in_blocks(rare.join(small(rows, 16), "token").select("token", "m", "class").distinct(), "token", F.ceil(F.col("m") / SKETCHED_CLASSES))
     shown = seen.where("class IS NOT NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     cells = cells.join(shown, "class").select("token", "i", "j", "class", "n", "sketch")
     maybe = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_sieve(num, den), "a long, b long")
