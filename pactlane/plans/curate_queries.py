@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pactlane.operators import curate as K
+from pactlane.functions import constants as C
 from pactlane.operators import cohorts as G
 from pactlane.operators import compare as P
 from pactlane.operators import evaluate as E
@@ -121,7 +122,18 @@ def dataset_counts(spark, sf_dir):
     return a.unionByName(b)
 
 
-@query("preference_slices")
+_SLICE = " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in C.REJECTION_SLICE.items())
+_ORDER = ", ".join(f"'{c}'" for c in C.REJECTION_CATEGORIES)
+_SLICES = ", ".join(f"'{s}'" for s in C.PREFERENCE_SLICES)
+
+
+@query(
+    "preference_slices",
+    HEAD + "," + PAIRS + f""", sl AS (SELECT CASE cat {_SLICE} END AS slice, id || '-' || cat AS id, row_number() OVER (PARTITION BY CASE cat {_SLICE} END
+ ORDER BY ordinal, list_position([{_ORDER}], cat)) AS rn FROM pc)
+SELECT s.slice, count(sl.id) AS pair_count, coalesce(string_agg(sl.id, ',' ORDER BY rn) FILTER (WHERE rn <= 5), '') AS examples
+FROM (SELECT unnest([{_SLICES}]) AS slice) s LEFT JOIN sl USING (slice) GROUP BY s.slice""",
+)
 def preference_slices(spark, sf_dir):
     """Pair counts per slice with the first five ids."""
     return K.preference_slices(pairs(spark, sf_dir))

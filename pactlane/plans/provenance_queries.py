@@ -134,7 +134,25 @@ def mismatch_ledger(spark, sf_dir):
     return led.groupBy("arm", "scope_key", "primary_mechanism").agg(F.count("*").alias("events"))
 
 
-@query("scope_policy")
+GOLD_SLOTS = r"""
+gs0 AS (SELECT id, g_tt, g_rt, input_text, g_sl, unnest(json_keys(g_sl)) AS k FROM scored WHERE arm = 'control'),
+gs AS (SELECT *, json_type(g_sl, '$."' || k || '"') AS t, json_extract_string(g_sl, '$."' || k || '"') AS v FROM gs0),
+gn AS (SELECT *, (length(input_text) - length(replace(input_text, v, ''))) / length(v) AS n, regexp_replace(lower(v), '[\s\p{P}\p{Z}]', '', 'g') AS nv,
+ regexp_replace(lower(input_text), '[\s\p{P}\p{Z}]', '', 'g') AS ns FROM gs),
+gv AS (SELECT g_tt, g_rt, k, t = 'VARCHAR' AND (n = 1 OR (n = 0 AND nv <> '' AND (length(ns) - length(replace(ns, nv, ''))) / length(nv) = 1)) AS good FROM gn)"""
+
+
+@query(
+    "scope_policy",
+    with_rows(
+        """SELECT task_type, route, slot_path, events, verified, verified / events::DOUBLE AS verified_rate, exclusion_reason = '' AS enabled, exclusion_reason FROM (
+ SELECT *, concat_ws('; ', CASE WHEN slot_path NOT IN ('query', 'field', 'target') THEN 'slot_path_not_enabled_in_this_slice' END,
+  CASE WHEN slot_path = 'action' THEN 'action_semantics_depend_on_blocked_clarify_safety_contexts' END, CASE WHEN events < 10 THEN 'sample_count_below_10' END,
+  CASE WHEN verified / events::DOUBLE < 0.7 THEN 'copyable_rate_below_0.70' END) AS exclusion_reason FROM (
+  SELECT g_tt AS task_type, g_rt AS route, k AS slot_path, count(*) AS events, CAST(count(*) FILTER (WHERE good) AS BIGINT) AS verified FROM gv GROUP BY ALL))""",
+        GOLD_SLOTS,
+    ),
+)
 def scope_policy(spark, sf_dir):
     """Data-driven scope policy from gold slots."""
     g = gold_slots(spark, sf_dir).where(F.col("arm") == "control")
