@@ -9,7 +9,7 @@ from pactlane.operators import provenance as P
 from pactlane.operators.common import grouping_counts
 from pactlane.plans.evaluation_queries import gold, preds, scored
 from pactlane.plans.inputs import table
-from pactlane.plans.oracle_parts import with_rows
+from pactlane.plans.oracle_parts import n, with_rows
 from pactlane.plans.registry import query
 from pactlane.plans.shared import written
 from pactlane.streaming.sidecar import outcome_summary, outcomes
@@ -121,13 +121,44 @@ def false_accepts(spark, sf_dir):
     return P.false_accepts(diags(spark, sf_dir))
 
 
-@query("scope_metrics")
+AUDIT = (
+    SLOTS
+    + r""",
+au AS (SELECT r.*, s.ordinal, json_type(g_sl, '$."' || slot_path || '"') AS gt, json_extract_string(g_sl, '$."' || slot_path || '"') AS gold_text, p_tt = g_tt AND p_rt = g_rt AS same_head,
+ CASE s.ordinal % 7 WHEN 3 THEN 'duplicate_exact' WHEN 4 THEN 'source_absent' WHEN 5 THEN 'normalization_candidate' WHEN 6 THEN 'partial_span_trap' ELSE 'exact_unique' END AS condition
+ FROM ver r JOIN scored s USING (arm, id)),
+ax AS (SELECT *, status = 'VERIFIED_EXACT_UNIQUE' AS trusted, coalesce(status = 'VERIFIED_EXACT_UNIQUE' AND same_head AND gt = 'VARCHAR' AND gold_text = v, false) AS correct,
+ regexp_replace(lower(v), '[\s\p{P}\p{Z}\p{S}]', '', 'g') AS lv, regexp_replace(lower(input_text), '[\s\p{P}\p{Z}\p{S}]', '', 'g') AS ls FROM au)"""
+)
+
+
+@query(
+    "scope_metrics",
+    with_rows(
+        f"""SELECT *, trusted / nullif(observed, 0)::DOUBLE AS trusted_rate, trusted_correct / nullif(trusted, 0)::DOUBLE AS trusted_correct_rate FROM (
+ SELECT arm, d.n AS dimension, d.v AS value, count(*) AS observed, {n('trusted')} AS trusted, {n("status = 'VERIFIED_NORMALIZED_UNIQUE'")} AS candidate,
+  {n("status = 'AMBIGUOUS_MULTIPLE_MATCHES'")} AS ambiguous, {n("status = 'NOT_FOUND'")} AS not_found, {n("status = 'OUT_OF_SCOPE'")} AS out_of_scope,
+  {n('correct')} AS trusted_correct, {n('trusted AND NOT correct')} AS trusted_mismatch
+ FROM (SELECT *, unnest([{{'n': 'overall', 'v': 'all'}}, {{'n': 'scope_key', 'v': scope_key}}, {{'n': 'condition', 'v': condition}}]) AS d FROM ax) GROUP BY ALL)""",
+        AUDIT,
+    ),
+)
 def scope_metrics(spark, sf_dir):
     """Trust counters overall, per scope and per condition."""
     return P.scope_metrics(audited(spark, sf_dir), condition())
 
 
-@query("mismatch_ledger")
+@query(
+    "mismatch_ledger",
+    with_rows(
+        r"""SELECT arm, scope_key, CASE WHEN slot_path = 'action' THEN 'WRONG_SLOT_OR_SCOPE_SELECTION' WHEN condition = 'source_absent' THEN 'SOURCE_ABSENT_SUBSTITUTION'
+ WHEN lv <> '' AND (length(ls) - length(replace(ls, lv, ''))) / length(lv) > 1 THEN 'NORMALIZATION_EQUIVALENCE_COLLISION' WHEN condition = 'duplicate_exact' THEN 'DUPLICATE_CONTEXT_DISAMBIGUATION_FAILURE'
+ WHEN gold_text IS NULL OR gt <> 'VARCHAR' THEN 'UNCLASSIFIED_SEMANTIC_MISMATCH' WHEN condition = 'partial_span_trap' AND starts_with(v, gold_text) THEN 'OVERLONG_SOURCE_SPAN'
+ WHEN condition = 'partial_span_trap' OR starts_with(gold_text, v) THEN 'UNDERSPECIFIED_PARTIAL_SPAN' WHEN nv = regexp_replace(lower(gold_text), '[\s\p{P}\p{Z}]', '', 'g')
+ THEN 'CHALLENGE_FIXTURE_OR_GOLD_AMBIGUITY' ELSE 'GENERATED_VALUE_MISMATCH' END AS primary_mechanism, count(*) AS events FROM ax WHERE trusted AND NOT correct GROUP BY ALL""",
+        AUDIT,
+    ),
+)
 def mismatch_ledger(spark, sf_dir):
     """Mechanism of trusted values that disagree with gold."""
     led = P.mismatch_ledger(audited(spark, sf_dir), condition())
