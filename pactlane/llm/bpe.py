@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -77,13 +78,17 @@ class Coder:
                 raise ValueError("two merges make the same token")
             self.pair[a, b] = rank
             self.parts[whole] = (a, b, rank)
+        self.fits: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        # a word may only be cut into tokens that the merges can make
+        self.id_of = {w: k for w, k in self.id_of.items() if (k in self.parts or len(w) == 1) and self.reachable(k)}
         self.machine = ahocorasick.Automaton()
+        self.shorter = [-1] * size  # the longest token that is a proper prefix
         for word, k in self.id_of.items():
-            if k in self.parts or len(word) == 1:
-                self.machine.add_word(word, k)
+            self.machine.add_word(word, k)
+            self.shorter[k] = next((self.id_of[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.id_of), -1)
         self.machine.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.known: dict[str, list[int]] = {}  # pre-tokens met lately
         self.memory = Memory(self.encode_pieces)
 
     def _edge(self, token: int, side: int) -> Iterator[tuple[int, int]]:
@@ -135,38 +140,52 @@ class Coder:
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token, given as its bytes in Latin-1."""
         whole = self.id_of.get(word)
-        if whole is not None and self.reachable(whole):
+        if whole is not None:
             return [whole]
-        starts: list[list[int]] = [[] for _ in word]
-        length = self.length
+        n, length, shorter, fits = len(word), self.length, self.shorter, self.fits
+        longest = [-1] * n
         for end, token in self.machine.iter(word):
-            starts[end + 1 - length[token]].append(token)
-        n, at, out = len(word), 0, []
+            longest[end + 1 - length[token]] = token  # of the tokens that start there, the last one ends last
         alive = bytearray(b"\1") * (n + 1)
-        while at < n:
-            open_, last = starts[at], out[-1] if out else -1
-            while open_:
-                token = open_.pop()
-                if alive[at + length[token]] and self.reachable(token) and (last < 0 or self.compatible(last, token)):
-                    out.append(token)
-                    at += length[token]
-                    break
+        at, out, last, token = 0, [], -1, longest[0]
+        while True:
+            while token >= 0:
+                end = at + length[token]
+                if alive[end]:
+                    if last < 0:
+                        break
+                    fit = fits.get(last << 32 | token)
+                    if self.compatible(last, token) if fit is None else fit:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                if end == n:
+                    return out
+                at, last, token = end, token, longest[end]
             else:
                 alive[at] = 0
-                at -= length[out.pop()]
-        return out
+                token = out.pop()
+                at -= length[token]
+                last, token = out[-1] if out else -1, shorter[token]
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self._encode(t), "<u4").tobytes() for t in texts]
+        if len(self.known) > 150_000:
+            self.known.clear()
+        return [array("I", self._encode(t)).tobytes() for t in texts]
 
     def _encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in self.cut.split(text) if self.cut else (text,):
-            if part in self.special:
+        special = self.cut and any(s in text for s in self.special)
+        for part in self.cut.split(text) if special else (text,):
+            if special and part in self.special:
                 out.append(self.special[part])
-            elif part:
-                for word in self.words.findall(part):
-                    out += self.encode_word(word.encode("utf-8").decode("latin-1"))
+                continue
+            for word in self.words.findall(part):
+                ids = self.known.get(word)
+                if ids is None:
+                    ids = self.known[word] = self.encode_word(word if word.isascii() else word.encode("utf-8").decode("latin-1"))
+                out += ids
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
