@@ -108,7 +108,7 @@ def test_challenge_grid_classes(spark):
 def test_spans_overlap_and_unicode(spark):
     df = spark.createDataFrame([("aa", "aaaa"), ("ＡＢ１", "see a-b 1!"), ("ß", "STRASSE")], "v string, s string")
     exact = df.select(F.size(V.exact_spans(F.col("v"), F.col("s")))).collect()
-    loose = df.select(V._span_udf(False)("v", "s")).collect()
+    loose = V.with_normalized_spans(df, "found", F.col("v"), F.col("s")).select("found").collect()
     assert [r[0] for r in exact] == [3, 0, 0]
     assert [tuple(x) for x in loose[1][0]] == [(4, 9)] and [tuple(x) for x in loose[2][0]] == [(4, 6)]
 
@@ -157,3 +157,98 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.id, r.hook_status, r.error_code) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.id, r.hook_status, r.error_code) for r in S.outcomes(df, policy).collect()}
     assert got == want and {s for _i, s, _e in got} == {"COMPLETED", "SHADOW_INVALID_INPUT"}
+
+
+def test_file_and_line_order(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id":"x","prediction":{"v":1}}\n' + '{"id":"y","prediction":{}}\n', encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('{"id":"z","prediction":{}}\n' * 3000 + '{"id":"x","prediction":{"v":2}}\n', encoding="utf-8")
+    rows = R.read_jsonl(spark, str(tmp_path))
+    names = [r.file.rsplit("/", 1)[1] for r in rows.orderBy("ordinal").collect()]
+    assert names == sorted(names)
+    assert {r.id: r.raw for r in R.load_predictions(rows).collect()}["x"] == '{"v":2}'
+
+
+def test_stream_keeps_repeated_ids_apart(spark):
+    from pactlane.streaming import sidecar as S
+
+    rows = [("a", "1", 1, "dev", "copy a now", text()), ("a", "1", 2, "dev", "copy a now", text()), ("a", "1", 3, "dev", "nothing", text())]
+    got = S.outcomes(spark.createDataFrame(rows, S.PREDICTION_SCHEMA), V.default_policy(spark)).collect()
+    assert sorted((r.ordinal, r.trusted_count) for r in got) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_canonical_numbers(spark):
+    from pactlane.functions.text import canonical_number
+
+    cases = {"10000000000": "10000000000", "1" + "0" * 100: "1" + "0" * 100, "007.500": "7.5", "+3.0": "3", "-0.25": "-0.25", "x": None, "1e5": None, " 12 ": "12"}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.n for r in df.select("v", canonical_number(F.col("v")).alias("n")).collect()} == cases
+
+
+def test_cohort_families_by_any_family_key(spark):
+    rows = [("1", "train", {"family_id": "a"}), ("2", "train", {"source_family_id": "b"}), ("3", "train", {"family_id": "a"}), ("4", "train", {})]
+    got = G.cohort_summary(spark.createDataFrame(rows, "id string, split string, provenance map<string,string>")).first()
+    assert (got.seeds, got.families) == (4, 3)
+
+
+def test_ordered_digest_is_a_tree(spark):
+    import hashlib
+
+    from pactlane.operators import holdout as H
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    values = [f"v{k}" for k in range(2500)]
+    level = [sha(v + "\n") for v in values]
+    for _ in range(H.LEVELS):
+        level = [sha(",".join(level[i : i + 1024])) for i in range(0, len(level), 1024)]
+    df = spark.createDataFrame([(k * 777, v) for k, v in enumerate(values)], "ordinal long, v string").repartition(5)
+    assert tuple(H.ordered_hash(df, "v", "lines").first()) == (2500, level[0])
+    assert tuple(H.ordered_hash(df.limit(0), "v").first()) == (0, sha(""))
+
+
+def test_manifest_rules(spark):
+    from pactlane.operators import holdout as H
+
+    rows = spark.createDataFrame([(5, '{"row_id":"a"}'), (9, '{"row_id":"b"}')], "ordinal long, raw string")
+    facts = H.freeze_manifest(rows).first()
+    hashes = [r.content_hash for r in H.freeze(rows).orderBy("ordinal").collect()]
+    good = {"manifest_id": "m", "frozen": True, "row_count": 2, "family_count": facts.family_count, "schema_version": "1", "created_at": "t",
+            "provenance_summary": {"a": 1}, "content_hashes": hashes, "lockbox_hash": facts.ordered_hash}
+
+    def failures(**changes):
+        raw = json.dumps({k: v for k, v in {**good, **changes}.items() if v is not ...})
+        return {r.category for r in H.manifest_failures(rows, spark.createDataFrame([(raw,)], "raw string")).collect()}
+
+    assert failures() == set()
+    assert failures(frozen="yes") == {"manifest_not_frozen"}
+    assert failures(row_count=3) == {"manifest_count_mismatch"}
+    assert failures(family_count=7) == {"manifest_family_count_mismatch"}
+    assert failures(schema_version=...) == {"manifest_schema_missing"}
+    assert failures(created_at=...) == {"manifest_timestamp_missing"}
+    assert failures(provenance_summary={}) == {"manifest_provenance_summary_missing"}
+    assert failures(lockbox_hash="0") == failures(content_hashes=hashes[::-1]) == failures(content_hashes=hashes[:1]) == failures(lockbox_hash=...) == {"manifest_hash_mismatch"}
+    none = spark.createDataFrame([], "raw string")
+    assert [r.category for r in H.manifest_failures(rows, none).collect()] == ["manifest_missing"]
+
+
+def test_ancestors_at_any_depth(spark):
+    from pactlane.functions.canonical import ancestor_ids
+
+    body = ["s", {"id": "i", "derived_from": ["t", {"id": "j", "derived_from": [{"provenance": {"source_id": "p"}}]}], "provenance": {"source_id": "q", "other": "no"}}, 5, ["no"], {"id": ""}]
+    df = spark.createDataFrame([(json.dumps(body),), ("{}",)], "v string")
+    got = df.select(ancestor_ids("v").alias("a")).collect()
+    assert sorted(got[0].a) == ["i", "j", "p", "q", "s", "t"] and got[1].a == []
+
+
+def test_fixed_policy_is_not_a_join(spark):
+    slots = spark.createDataFrame([("a b", "STRING", "a", "search:search_web:query")], "source_text string, kind string, text string, scope_key string")
+    plan = V.verify(slots, V.default_policy(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_latency_equals_sorting(spark):
+    rng = __import__("random").Random(3)
+    values = [rng.choice([1.0, 2.0, 2.5]) if rng.random() < 0.5 else rng.random() * 100 for _ in range(3000)]
+    got = V.latency(spark.createDataFrame([("g", v) for v in values], "g string, v double"), ["g"], "v", fences=15).first()
+    ranked = sorted(values)
+    want = [ranked[round((len(values) - 1) * q)] for q in (0.5, 0.95, 0.99)]
+    assert [got.p50, got.p95, got.p99] == want and got.samples == 3000 and got.max == ranked[-1]
