@@ -33,6 +33,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without the last one's batches
 
 
 def values(batch: pa.RecordBatch, name: str) -> list:

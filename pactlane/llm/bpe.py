@@ -113,7 +113,7 @@ class Coder:
                     rank = self.pair.get((a, b))
                     if rank is not None and rank < inner_a and rank <= inner_b:
                         known = False
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -170,7 +170,7 @@ class Coder:
                 last, token = out[-1] if out else -1, shorter[token]
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > 150_000:
+        if len(self.known) > 60_000:
             self.known.clear()
         return [array("I", self._encode(t)).tobytes() for t in texts]
 

@@ -157,8 +157,14 @@ def _automaton(block, width: int) -> Automaton:
     return _BUILT[key]
 
 
-def _scan(block, width: int):
+def _scan(block, width: int, finish=None):
+    """Add one block's hits to the rows; ``finish`` turns the batches into the last result."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = scanned(batches)
+        return finish(found) if finish else found
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(block, width)
         for batch, texts in text_blocks(batches):
             n_words, runs, items = [], [], []
@@ -178,6 +184,10 @@ def _scan(block, width: int):
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``__n_words``, ``__runs`` (packed int32 pairs of hit words: first, one past last)
     and ``__items`` (ids, as sorted strings, of the items that were met)."""
+    return _through_blocks(docs, benchmark, width, block_words)
+
+
+def _through_blocks(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, finish=None, finished: str = "") -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -189,7 +199,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_wor
     for b in range(blocks):
         rows = items.where(F.col("block") == b).select("item", "text").collect()
         block = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, words_of(bytes(r.text or b""))) for r in rows]))
-        out = out.mapInArrow(_scan(block, width), schema)
+        last = finish is not None and b == blocks - 1
+        out = out.mapInArrow(_scan(block, width, finish), finished) if last else out.mapInArrow(_scan(block, width), schema)
     return out
 
 
@@ -242,4 +253,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     their words hit are dropped. Documents without hits keep their text as it is."""
     others = [f for f in docs.schema if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "text string"])
-    return matches(docs, benchmark, width).mapInArrow(_cut(max_coverage), schema).select(*docs.columns)
+    return _through_blocks(docs, benchmark, width, BLOCK_WORDS, _cut(max_coverage), schema).select(*docs.columns)

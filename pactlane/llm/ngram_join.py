@@ -37,7 +37,7 @@ from pactlane.llm.blocks import WordHashes, rolling, small, stored, text_blocks,
 from pactlane.llm.components import components
 
 RANKED = 1 << 18  # most frequent shingles that go last in the order of rareness
-CHUNK = 4_000_000  # shingles of a task whose counts are summed up at a time
+CHUNK = 1_500_000  # shingles of a task whose counts are summed up at a time
 SHARED = 3  # documents of a chunk that must share a shingle for it to be summed up
 SKETCHED_CLASSES = 1024  # a larger row of the matrix is sieved as pairs of blocks of this size
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 128_000  # a larger group is opened as pairs of blocks of this size
