@@ -157,7 +157,7 @@ class Encoder:
             self.size[k] = len(name) if all(c in letters for c in name) else len(name.encode())
         for t in spec["added_tokens"]:
             self.size[t["id"]] = len(t["content"].encode())
-        self.memory = Memory(self.encode_pieces)
+        self.memory = Memory(self.encode_pieces, limit=500_000)
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
         """Pieces that may stand one behind the other are encoded as one text and cut by their bytes."""
