@@ -8,12 +8,15 @@ Parquet before the next one reads it. All stages but the last return the columns
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlane.llm import bpe, decontaminate, ngram_join, substring, toxicity
 from pactlane.llm.blocks import scratch, table
+from pactlane.session import ship
 
 TOXIC_FROM = 0.5
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
@@ -27,6 +30,16 @@ def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
     return docs.select(*before.columns)
 
 
+def _stage(fn):
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC_FROM``; the model learns from these documents and ``labels``.
     Null and empty texts stay, repeated rows stay or go together."""
@@ -34,22 +47,26 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model).where(F.col("__score") < TOXIC_FROM).select(*docs.columns)
 
 
+@_stage
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, Jaccard from 0.8): the one with
     the smallest id. Documents without words are no copies of one another and all stay."""
     return ngram_join.keep_one(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ``PASSAGE_WORDS`` words or more that stand earlier are cut out; no row goes."""
     return _counted(substring.deduplicate(docs, PASSAGE_WORDS), docs)
 
 
+@_stage
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; documents that are mostly benchmark go."""
     return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS), docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every document left; a null text has no ids."""
     out = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
