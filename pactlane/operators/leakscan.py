@@ -27,49 +27,50 @@ def first_unsafe(text: Column) -> Column:
     return out
 
 
-def line_findings(files: DataFrame) -> DataFrame:
-    """(path, line, category, detail) per offending line of whole texts."""
-    lines = files.select("path", F.posexplode(F.split("text", LINE_BREAK)).alias("n", "body"))
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col("body").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(d).alias("detail")))
-                for c, p, d in LINE_RULES
-            ]
-        )
-    )
-    return lines.select("path", (F.col("n") + 1).alias("line"), F.explode(hits).alias("h")).select("path", "line", "h.*")
+FINDING = "array<struct<line:int,category:string,detail:string>>"
+
+
+def _finding(line, category, detail) -> Column:
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(as_column(line).cast("int").alias("line"), as_column(category).alias("category"), as_column(detail).alias("detail"))
+
 
+def _line_hits(lines: Column) -> Column:
+    """One finding per line and violated rule."""
+    of_line = lambda body, n: F.array_compact(F.array(*[F.when(body.rlike(p), _finding(n + 1, c, d)) for c, p, d in LINE_RULES]))
+    return F.flatten(F.transform(lines, of_line))
 
-def path_findings(files: DataFrame) -> DataFrame:
+
+def _may_hit(text: Column) -> Column:
+    """No line can violate a rule unless the whole text holds the rule's pattern somewhere; anchors to
+    the start of a line are left out here."""
+    anywhere = [p.replace(r"^\s*", "") for _c, p, _d in LINE_RULES]
+    out = F.lit(False)
+    for p in anywhere:
+        out = out | text.rlike(p)
+    return out
+
+
+def _path_hits(path: Column) -> Column:
     """Findings that follow from the path alone."""
-    suffix = F.concat(F.lit("."), F.substring_index("path", ".", -1))
-    parts = F.split("path", "/")
-    private = F.exists(parts, lambda p: p.isin(*C.PRIVATE_ARTIFACT_PARTS) | p.startswith("checkpoint-"))
-    entry = lambda cond, cat, detail: F.when(cond, F.struct(F.lit(cat).alias("category"), F.lit(detail).alias("detail")))
-    hits = F.array_compact(
+    suffix = F.concat(F.lit("."), F.substring_index(path, ".", -1))
+    private = F.exists(F.split(path, "/"), lambda p: p.isin(*C.PRIVATE_ARTIFACT_PARTS) | p.startswith("checkpoint-"))
+    return F.array_compact(
         F.array(
-            entry(suffix.isin(*C.MODEL_ARTIFACT_SUFFIXES), "model_artifact", "model/checkpoint artifact"),
-            entry(suffix == ".log", "raw_log", "raw log artifact"),
-            entry(private, "private_artifact_dir", "private training artifact directory"),
+            F.when(suffix.isin(*C.MODEL_ARTIFACT_SUFFIXES), _finding(0, "model_artifact", "model/checkpoint artifact")),
+            F.when(suffix == ".log", _finding(0, "raw_log", "raw log artifact")),
+            F.when(private, _finding(0, "private_artifact_dir", "private training artifact directory")),
         )
     )
-    return files.select("path", F.lit(0).alias("line"), F.explode(hits).alias("h")).select("path", "line", "h.*")
 
 
-def row_file_findings(files: DataFrame, max_rows: int = 5000) -> DataFrame:
-    """Row files: rows marked private and files with too many rows."""
-    lines = files.where(F.col("path").endswith(".jsonl")).select("path", F.posexplode(F.split("text", LINE_BREAK)).alias("n", "body"))
-    lines = lines.where(~F.col("body").rlike(r"(?U)^\s*$"))
-    marked = lines.where(F.get_json_object("body", "$.provenance.public_safe") == "false").select(
-        "path", (F.col("n") + 1).alias("line"), F.lit("raw_private_row").alias("category"), F.lit("public JSONL row marked private").alias("detail")
-    )
-    sizes = lines.groupBy("path").agg(F.count("*").alias("rows")).where(F.col("rows") > max_rows)
-    big = sizes.select(
-        "path", F.lit(0).alias("line"), F.lit("oversized_public_corpus").alias("category"),
-        F.concat("rows", F.lit(f" rows exceeds {max_rows}")).alias("detail"),
-    )
-    return marked.unionByName(big)
+def _row_hits(lines: Column, max_rows: int) -> Column:
+    """Row files: rows marked private, and a file with too many rows."""
+    blank = lambda b: b.rlike(r"(?U)^\s*$")
+    marked = F.transform(lines, lambda b, n: F.when(F.get_json_object(b, "$.provenance.public_safe") == "false", _finding(n + 1, "raw_private_row", "public JSONL row marked private")))
+    rows = F.size(F.filter(lines, lambda b: ~blank(b)))
+    large = F.when(rows > max_rows, _finding(0, "oversized_public_corpus", F.concat(rows, F.lit(f" rows exceeds {max_rows}"))))
+    return F.array_compact(F.concat(marked, F.array(large)))
 
 
 def missing_paths(requested: DataFrame, files: DataFrame) -> DataFrame:
@@ -85,11 +86,15 @@ def missing_paths(requested: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, requested: DataFrame | None = None, max_rows: int = 5000) -> DataFrame:
-    """All findings over a (path, text) table."""
-    parts = [path_findings(files), line_findings(files), row_file_findings(files, max_rows)]
-    if requested is not None:
-        parts.append(missing_paths(requested, files))
-    return union_all(parts)
+    """All findings over a (path, text) table, in one pass over it: every file yields one array."""
+    lines, none = F.split("text", LINE_BREAK), F.array().cast(FINDING)
+    found = F.concat(
+        _path_hits(F.col("path")),
+        F.when(_may_hit(F.col("text")), _line_hits(lines)).otherwise(none),
+        F.when(F.col("path").endswith(".jsonl"), _row_hits(lines, max_rows)).otherwise(none),
+    )
+    out = files.select("path", F.explode(found).alias("h")).select("path", "h.*")
+    return out if requested is None else union_all([out, missing_paths(requested, files)])
 
 
 def redacted(df: DataFrame, column: str) -> DataFrame:

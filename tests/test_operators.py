@@ -252,3 +252,19 @@ def test_latency_equals_sorting(spark):
     ranked = sorted(values)
     want = [ranked[round((len(values) - 1) * q)] for q in (0.5, 0.95, 0.99)]
     assert [got.p50, got.p95, got.p99] == want and got.samples == 3000 and got.max == ranked[-1]
+
+
+def test_leak_scan_reads_each_file_once(spark):
+    from pactlane.operators import leakscan as L
+
+    files = spark.createDataFrame(
+        [("a/x.log", "ok\nHostName box\n  IdentityFile k"), ("checkpoint-1/m.bin", ""), ("r.jsonl", '{"provenance":{"public_safe":false}}\n\n{"a":1}\n{"b":2}'), ("c.txt", "see /tmp/x and 10.0.0.1\rplain\x0bapi_key: abcdefgh"), ("n.txt", None)],
+        "path string, text string",
+    )
+    got = sorted((r.path, r.line, r.category) for r in L.scan(files, spark.createDataFrame([("a",), ("zz",)], "path string"), max_rows=2).collect())
+    assert got == [
+        ("a/x.log", 0, "raw_log"), ("a/x.log", 2, "ssh_detail"), ("a/x.log", 3, "ssh_detail"), ("c.txt", 1, "private_ip"), ("c.txt", 1, "private_path"), ("c.txt", 3, "secret"),
+        ("checkpoint-1/m.bin", 0, "model_artifact"), ("checkpoint-1/m.bin", 0, "private_artifact_dir"), ("r.jsonl", 0, "oversized_public_corpus"), ("r.jsonl", 1, "raw_private_row"), ("zz", 0, "missing_path"),
+    ]
+    plan = L.scan(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Exchange" not in plan
