@@ -1,11 +1,12 @@
 """Helpers of the text operators: bounded blocks of texts, word hashes and scratch tables.
 
-Arrow batches are cut into blocks of about two megabytes of text, so a task's Python memory
+Arrow batches are cut into blocks of about a megabyte of text, so a task's Python memory
 does not depend on the batch size or on how long the texts are (one text is never cut).
 """
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,10 +18,18 @@ from pyspark.sql import functions as F
 
 from pactlane.session import ensure_checkpoint_dir
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 SPACES = bytes(range(9, 14)) + b" "
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task without the last one's batches."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """(slice of a batch, its texts as bytes or None) for runs of rows of about ``limit`` bytes."""
     for batch in batches:
@@ -33,7 +42,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
             start = stop
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task without the last one's batches
+    give_back()
 
 
 def values(batch: pa.RecordBatch, name: str) -> list:
@@ -48,7 +57,7 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class WordHashes(dict):
     """64-bit hash of a word, remembered for repeated words; forgotten when it has grown."""
 
-    def __init__(self, seed: int = 0, limit: int = 200_000):
+    def __init__(self, seed: int = 0, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pactlane.llm.blocks import text_blocks
+from pactlane.llm.blocks import give_back, text_blocks
 from pactlane.llm.pieces import Memory
 
 # Fixed value: the split pattern of the byte-level pre-tokenizer.
@@ -90,6 +90,8 @@ class Coder:
         self.machine.make_automaton()
         self.known: dict[str, list[int]] = {}  # pre-tokens met lately
         self.memory = Memory(self.encode_pieces)
+        del spec, model, letters, latin, ids, texts
+        give_back()
 
     def _edge(self, token: int, side: int) -> Iterator[tuple[int, int]]:
         """Tokens at one edge of a token, from the token down to its last byte, each with the rank of
@@ -113,7 +115,7 @@ class Coder:
                     rank = self.pair.get((a, b))
                     if rank is not None and rank < inner_a and rank <= inner_b:
                         known = False
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             self.fits[key] = known
         return known

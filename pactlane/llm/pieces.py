@@ -38,7 +38,7 @@ def pieces(text: str) -> list[str]:
 class Memory(dict):
     """Piece -> its ids as little-endian 32-bit integers; new pieces are encoded together."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 120_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
