@@ -34,6 +34,9 @@ from pactlane.llm.pieces import Memory
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+REMEMBERED = 120_000  # encoded pieces a worker keeps; more of them take memory (about 0.25 kB each) and save time
+
+
 def byte_letters() -> dict[str, int]:
     """Letter -> byte of the byte-level alphabet: visible Latin-1 characters stand for themselves, the
     other bytes for the code points from 256 on, in order."""
@@ -43,7 +46,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Coder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -89,7 +92,7 @@ class Coder:
             self.shorter[k] = next((self.id_of[word[:n]] for n in range(len(word) - 1, 0, -1) if word[:n] in self.id_of), -1)
         self.machine.make_automaton()
         self.known: dict[str, list[int]] = {}  # pre-tokens met lately
-        self.memory = Memory(self.encode_pieces)
+        self.memory = Memory(self.encode_pieces, remembered)
         del spec, model, letters, latin, ids, texts
         give_back()
 
@@ -115,7 +118,7 @@ class Coder:
                     rank = self.pair.get((a, b))
                     if rank is not None and rank < inner_a and rank <= inner_b:
                         known = False
-            if len(self.fits) > 100_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -148,12 +151,12 @@ class Coder:
         longest = [-1] * n
         for end, token in self.machine.iter(word):
             longest[end + 1 - length[token]] = token  # of the tokens that start there, the last one ends last
-        alive = bytearray(b"\1") * (n + 1)
+        dead: set[int] = set()
         at, out, last, token = 0, [], -1, longest[0]
         while True:
             while token >= 0:
                 end = at + length[token]
-                if alive[end]:
+                if end not in dead:
                     if last < 0:
                         break
                     fit = fits.get(last << 32 | token)
@@ -166,7 +169,7 @@ class Coder:
                     return out
                 at, last, token = end, token, longest[end]
             else:
-                alive[at] = 0
+                dead.add(at)
                 token = out.pop()
                 at -= length[token]
                 last, token = out[-1] if out else -1, shorter[token]
@@ -174,11 +177,13 @@ class Coder:
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > 60_000:
             self.known.clear()
-        return [array("I", self._encode(t)).tobytes() for t in texts]
+        whole = "\n".join(texts)
+        special = any(s in whole for s in self.special)
+        return [array("I", self._encode(t, special)).tobytes() for t in texts]
 
-    def _encode(self, text: str) -> list[int]:
+    def _encode(self, text: str, special: bool = True) -> list[int]:
         out: list[int] = []
-        special = self.cut and any(s in text for s in self.special)
+        special = special and self.cut is not None
         for part in self.cut.split(text) if special else (text,):
             if special and part in self.special:
                 out.append(self.special[part])
@@ -209,17 +214,17 @@ class Coder:
 _CODERS: dict[str, Coder] = {}
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, remembered: int) -> Coder:
     """One coder per file and worker."""
     if path not in _CODERS:
         _CODERS.clear()
-        _CODERS[path] = Coder(path)
+        _CODERS[path] = Coder(path, remembered)
     return _CODERS[path]
 
 
-def _encode(path: str):
+def _encode(path: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(path, remembered)
         for batch, texts in text_blocks(batches):
             ids, counts = own.encode([(t or b"").decode("utf-8") for t in texts])
             edge = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
@@ -229,15 +234,15 @@ def _encode(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``__ids``, the token ids of ``text``."""
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(_encode(path), ", ".join([*columns, "__ids array<int>"]))
+    return docs.mapInArrow(_encode(path, remembered), ", ".join([*columns, "__ids array<int>"]))
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(path, REMEMBERED)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("__ids")).fill_null([])
             counts = np.diff(lists.offsets.to_numpy())
@@ -253,9 +258,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(_decode(path), ", ".join([*columns, "__decoded string"]))
 
 
-def _round_trip(path: str):
+def _round_trip(path: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(path, remembered)
         decimal = [str(k) for k in range(len(own.length))]
         for batch, texts in text_blocks(batches):
             ids, counts = own.encode([(t or b"").decode("utf-8") for t in texts])
@@ -270,6 +275,6 @@ def _round_trip(path: str):
     return run
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the text decoded from them."""
-    return docs.select("doc_id", "text").mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_round_trip(path, remembered), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
