@@ -1,7 +1,7 @@
 """Strict contract parsing and validation as Catalyst expressions.
 
-The text of a contract is parsed once into a VARIANT; every later test is a lookup in
-that binary value. ``parse_contract`` adds one struct column holding typed fields, and
+Types are read from a VARIANT and values by JSON functions over the text (several reads of one
+text); later tests are lookups in the columns these give. ``parse_contract`` adds one struct column holding typed fields, and
 ``contract_status`` adds the validation verdict beside it. No row leaves the JVM.
 """
 

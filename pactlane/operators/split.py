@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 def stratified_split(
     df: DataFrame, stratum: str, key: str, seed: int = 42, train: float = 0.7, dev: float = 0.15, digits: int = 4
 ) -> DataFrame:
+    """Exact shares per stratum in an order of hashes: buckets of ``digits`` hexadecimal digits are counted,
+    whole buckets are placed by their counts, and only the two that a boundary cuts are ranked. The
+    result does not depend on ``digits``; more of them make cut buckets smaller on larger inputs."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     tagged = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
     counts = tagged.groupBy(stratum, "__b").agg(F.count("*").alias("__n"))

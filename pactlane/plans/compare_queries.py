@@ -44,7 +44,7 @@ def paired_tradeoff(spark, sf_dir):
     with_rows("SELECT split, outcome, class, family, count(*) AS row_count FROM mv WHERE class IN ('recovered','regressed') GROUP BY ALL", RAW),
 )
 def tradeoff_families(spark, sf_dir):
-    """Families of regressed and recovered rows."""
+    """Families of regressed and recovered rows."""
     return P.tradeoff_families(scored(spark, sf_dir))
 
 

@@ -49,7 +49,7 @@ SELECT path, CAST(line AS INT) AS line, h.c AS category, h.d AS detail FROM (SEL
  CASE WHEN path LIKE '%.jsonl' AND body LIKE '%"public_safe":false%' THEN {{'c': 'raw_private_row', 'd': 'public JSONL row marked private'}} END], lambda x: x IS NOT NULL)) AS h FROM l)""",
 )
 def leak_scan(spark, sf_dir):
-    """Findings per line of whole documents and pages."""
+    """Findings per line of whole documents and pages."""
     return L.scan(files(spark, sf_dir)).select("path", "line", "category", "detail")
 
 

@@ -227,7 +227,7 @@ def prompt_snapshot(spark, sf_dir):
     HEAD + """ SELECT 'fam-' || kind || '-' || k AS source_id, count(*) AS rows_before, CAST(0 AS BIGINT) + count(*) FILTER (WHERE k IN (0, 1)) AS rows_used FROM b5 GROUP BY ALL""",
 )
 def training_selection(spark, sf_dir):
-    """Rows of chosen source ids with counts before and after."""
+    """Rows of chosen source ids with counts before and after."""
     g = gold(spark, sf_dir)
     wanted = g.where(F.col("source_id").rlike("-[01]$")).select("source_id").distinct()
     return K.selection_record(g, K.select_training_rows(g, wanted, None))
@@ -241,7 +241,7 @@ def training_selection(spark, sf_dir):
     HEAD + """ SELECT split, CAST(count(*) FILTER (WHERE k <> 5) AS BIGINT) AS before, count(*) AS after, CAST(count(*) FILTER (WHERE k = 5) AS BIGINT) AS added FROM b5 GROUP BY split""",
 )
 def integration_preview(spark, sf_dir):
-    """Promoted candidates of one family previewed against the base set."""
+    """Promoted candidates of one family previewed against the base set."""
     s = seeds(spark, sf_dir)
     last = F.element_at("provenance", "family_id").rlike("-5$")
     return G.preview(s.where(~last), G.promote(s.where(last), "review"))
@@ -277,7 +277,7 @@ def cohort_check(spark, sf_dir):
 SELECT tt || ':' || rt || ':' || sk AS scope_key, condition, CASE WHEN k IN (0, 2, 3) THEN expected ELSE 'OUT_OF_SCOPE' END AS status, count(*) AS row_count FROM b5 CROSS JOIN c GROUP BY ALL""",
 )
 def challenge_composition(spark, sf_dir):
-    """Challenge rows for every event, verified against their condition."""
+    """Challenge rows for every event, verified against their condition."""
     at = lambda p: F.get_json_object("gold", p)
     scopes = gold(spark, sf_dir).select(
         F.col("id").alias("origin"), at("$.task_type").alias("task_type"), at("$.route").alias("route"),

@@ -261,7 +261,7 @@ att AS (SELECT arm, CASE WHEN trim(raw) = '' THEN 'empty' WHEN json_valid(raw) A
     ),
 )
 def decode_symptoms(spark, sf_dir):
-    """Parse status and decode symptoms."""
+    """Parse status and decode symptoms."""
     return X.decode_symptoms(preds(spark, sf_dir), "raw", ["arm"])
 
 
