@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import BLOCK_BYTES, WordHashes, mix, rolling, small, stored, text_blocks, values, whole_runs
+from pactlane.llm.blocks import WordHashes, mix, rolling, small, stored, text_blocks, values, whole_runs
 
 WIDTH = 20
 RUN = 3  # words hashed together for the minimiser
