@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.canonical import has_key_fragment, slot_events, stable_hash_text
-from pactlane.operators.common import count_if, first_k, flag, grouping_counts, rate
+from pactlane.operators.common import count_if, flag, grouping_counts, rate
 from pactlane.operators.leakscan import first_unsafe
 
 def _kept(symbols: bool):
