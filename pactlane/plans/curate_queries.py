@@ -13,6 +13,7 @@ from pactlane.operators import provenance as V
 from pactlane.operators.common import beside
 from pactlane.plans import inputs
 from pactlane.plans.evaluation_queries import gold, preds
+from pactlane.plans.oracle_parts import with_rows
 from pactlane.plans.registry import query
 from pactlane.plans.shared import written
 
@@ -162,7 +163,15 @@ def sample_profile(spark, sf_dir):
     return K.sample_profile(seeds(spark, sf_dir))
 
 
-@query("seed_issues")
+@query(
+    "seed_issues",
+    with_rows(
+        """SELECT issue, count(*) AS seeds FROM (SELECT unnest(list_filter(['need >=2 augmentations, got 1', CASE WHEN NOT ok THEN 'schema' END,
+ CASE WHEN p_tt = 'blocked' AND NOT coalesce(t_al = 'BOOLEAN' AND p_al = 'false', false) THEN 'blocked task must have safety.allow=false' END,
+ CASE WHEN p_tt IN ('search', 'navigate', 'extract') AND t_al = 'BOOLEAN' AND p_al = 'false' THEN p_tt || ' task should normally have safety.allow=true' END],
+ lambda x: x IS NOT NULL)) AS issue FROM scored JOIN (SELECT arm, id FROM predictions) USING (arm, id)) GROUP BY issue"""
+    ),
+)
 def seed_issues(spark, sf_dir):
     """V6, V7: seed structure and safety issues over gold and predicted contracts as candidate seeds."""
     preds = inputs.predictions(spark, sf_dir).select(
