@@ -124,6 +124,26 @@ def test_substrings_of_repeated_rows_and_nulls(spark, empty):
     assert substring.deduplicate(empty).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Null-id and same-id rows with different texts are documents of their own."""
+    word = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    shared, early = word("s", 25), word("e", 30)
+    rows = [
+        (None, " ".join(word("a", 30) + shared + word("b", 30))), (None, " ".join(word("c", 90))), (None, " ".join(word("d", 30) + shared + word("f", 30))),
+        (7, " ".join(word("g", 40) + early)), (7, " ".join(word("h", 90))), (7, " ".join(word("i", 40) + early)), ((1 << 60) + 1, " ".join(shared + word("j", 30))),
+    ]
+    rows += [rows[0], rows[3]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kinds = frame.select("doc_id", "text", F.xxhash64("text").alias("h")).distinct().collect()
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.h), r.text) for r in kinds)
+    brute = brute_removed(order, 20)
+    want = {(d if known else None, dict(order)[known, d, h]): brute[known, d, h][1:] for known, d, h in brute}
+    got = substring.deduplicate(frame.withColumn("source", F.col("text")), 20, digest=True).collect()
+    assert len(got) == len(rows)
+    assert all(want[r.doc_id, r.source] == (r["__n_removed"], r.text) for r in got)
+    assert sorted(n for n, _ in want.values()) == [0, 0, 0, 0, 25, 25, 30]
+
+
 NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
