@@ -268,3 +268,14 @@ def test_leak_scan_reads_each_file_once(spark):
     ]
     plan = L.scan(files)._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and "Exchange" not in plan
+
+
+def test_max_jaccard_is_exact_at_any_level(spark):
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)} or {t}
+    left = ["abcdefghijkl", "qrstuvwxyz", None, "qrstuvwxyz"]
+    sides = {"far": ["abcdMNOPQRSTUVWX", "0123456789uvw", None], "none": ["0123456789"], "near": ["abcdefghijkm", "0123"], "empty": []}
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    for right in sides.values():
+        want = max((len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in left if a for b in right if b), default=0.0)
+        for pair_hits in (N.PAIR_HITS, 1):
+            assert [r.max_jaccard for r in N.max_jaccard(frame(left), frame(right), pair_hits=pair_hits).collect()] == [want]
