@@ -279,3 +279,19 @@ def test_max_jaccard_is_exact_at_any_level(spark):
         want = max((len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in left if a for b in right if b), default=0.0)
         for pair_hits in (N.PAIR_HITS, 1):
             assert [r.max_jaccard for r in N.max_jaccard(frame(left), frame(right), pair_hits=pair_hits).collect()] == [want]
+
+
+def test_sequence_pairs_are_cut_in_spark_before_python(spark):
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcd é漢") for _ in range(40)) for _ in range(4)]
+    other = [t[:k] + "x" * n + t[k + n :] for t in base for k, n in ((5, 1), (9, 5), (12, 7), (30, 10))] + [t[20:] + t[:20] for t in base]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    out = N.sequence_pairs(frame(base), frame(other))
+    ratio = lambda a, b: difflib.SequenceMatcher(a=a, b=b).ratio()
+    want = {(str(i), str(j), ratio(a, b)) for i, a in enumerate(base) for j, b in enumerate(other) if ratio(a, b) >= 0.85}
+    assert set(map(tuple, out.collect())) == want and want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert 0 <= plan.find("ArrowEvalPython") < plan.find("levenshtein(")
