@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlane.llm import bpe, chat, decontaminate, fingerprint, language, ngram_join, substring, token_files, toxicity, urls
+from pactlane.llm import bpe, chat, decontaminate, fill_in_middle, fingerprint, language, ngram_join, sharding, substring, token_files, toxicity, urls, whitening
 from pactlane.llm.blocks import fold, scratch, table
 from pactlane.session import ship
 
@@ -228,3 +228,43 @@ FROM j LEFT JOIN r{urls.STEPS} r ON r.host = j.host
 
 
 ORACLE["op9_url_filter"] = _url_sql()
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in fill-in-the-middle form, and the texts restored from them."""
+    return fill_in_middle.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+v AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+             ('0x' || h[17:24])::BIGINT % 100 AS plain, ('0x' || h[25:32])::BIGINT % 100 AS late FROM d),
+f AS (SELECT doc_id, text, n, array_to_string(u[1 : least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS m,
+             array_to_string(u[greatest(a, b) + 1 :], '') AS s,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain >= 50 THEN 'plain'
+                  WHEN late < 80 THEN 'spm' ELSE 'psm' END AS form FROM v)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings by shifted CholeskyQR."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, "embedding")
+    out = whitening.by_component(whitening.transform(vectors, "embedding", model, ["vec_id"]), model)
+    return out.select(F.col("record.vec_id").alias("vec_id"), *out.columns[1:])
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 40 shards, read back from the files."""
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch(spark, "shards")
+    sharding.write(docs, folder, shards=40)
+    return sharding.assignments(sharding.read(spark, folder, docs.schema))
