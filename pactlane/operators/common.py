@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlane.session import ensure_checkpoint_dir
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame into the shared folder of ``spark.checkpoint.dir`` and read it back."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def flag(cond: Column) -> Column:
     """0/1 integer, NULL counts as 0."""

@@ -29,6 +29,7 @@ def files(spark, sf_dir):
     return docs.unionByName(pages).unionByName(notes)
 
 
+# Patterns of paths, secrets, addresses and SSH details.
 PATH_RE = r"""(/Users/[^\s"'')]+|/root/[^\s"'')]+|/tmp/[^\s"'')]+|/mnt/data/[^\s"'')]+)"""
 SECRET_RE = r"(sk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|(?i:(?:api[_-]?key|secret|token)\s*[:=]\s*[A-Za-z0-9_./+=-]{8,}))"
 IP_RE = r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b"
@@ -263,21 +264,53 @@ def user_turns(spark, sf_dir):
 
 
 @query(
-    "near_dup_pairs",
+    "near_dup_turns",
     """WITH u AS (SELECT text, min(printf('%012d-%08d', conv_id, turn)) AS k FROM conversations WHERE role = 'user' GROUP BY text)
 SELECT a.k AS i, b.k AS j, CAST(levenshtein(a.text, b.text) AS INT) AS distance, levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text))::DOUBLE AS ratio
 FROM u a JOIN u b ON a.k < b.k AND abs(length(a.text) - length(b.text)) < 0.3 * greatest(length(a.text), length(b.text))
 WHERE levenshtein(a.text, b.text) < 0.3::DOUBLE * greatest(length(a.text), length(b.text))""",
 )
-def near_dup_pairs(spark, sf_dir):
+def near_dup_turns(spark, sf_dir):
     """Distinct user turns closer than 0.3 of the longer length."""
     return N.edit_pairs(N.distinct_texts(user_turns(spark, sf_dir), "key", "text"))
 
 
-@query("greedy_dedupe")
+DOCUMENT_RATIO = 0.05  # of the longer document
+# DuckDB compares bytes, so letters of two bytes become single unused ones.
+LETTERS = "äöüßÄÖÜéèêëÉÈÊçÇñÑáíóúÁÍÓÚ"
+SPARE = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)][: len(LETTERS)])
+# Every pair of close texts shares 12 characters so often; short texts are all compared.
+NEAR_DOCUMENTS = f"""u AS (SELECT text, min(doc_id) AS k FROM documents GROUP BY text),
+x AS MATERIALIZED (SELECT k, translate(text, '{LETTERS}', {SPARE}) AS t, length(text) AS n FROM u),
+g AS MATERIALIZED (SELECT k, n, h, count(*) AS c FROM (SELECT k, n, hash(substr(t, i, 12)) AS h FROM (SELECT k, n, t, unnest(range(1, n - 10)) AS i FROM x WHERE n >= 60)) GROUP BY ALL),
+c AS (SELECT a.k AS i, b.k AS j FROM g a JOIN g b ON a.h = b.h AND a.k < b.k AND abs(a.n - b.n) < {DOCUMENT_RATIO} * greatest(a.n, b.n)
+ GROUP BY a.k, b.k, a.n, b.n HAVING sum(least(a.c, b.c)) >= 0.4 * greatest(a.n, b.n) - 11
+ UNION SELECT a.k, b.k FROM x a JOIN x b ON a.k < b.k AND least(a.n, b.n) < 60 AND abs(a.n - b.n) < {DOCUMENT_RATIO} * greatest(a.n, b.n)),
+e AS MATERIALIZED (SELECT i, j, levenshtein(a.t, b.t) AS d, greatest(a.n, b.n) AS m FROM c JOIN x a ON a.k = i JOIN x b ON b.k = j WHERE d < {DOCUMENT_RATIO}::DOUBLE * m)"""
+
+
+def document_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return written(spark, sf_dir, "document_pairs", lambda: N.edit_pairs(N.distinct_texts(docs, "doc_id", "text"), DOCUMENT_RATIO))
+
+
+@query("near_dup_pairs", f"WITH {NEAR_DOCUMENTS} SELECT i, j, CAST(d AS INT) AS distance, d / m::DOUBLE AS ratio FROM e")
+def near_dup_pairs(spark, sf_dir):
+    """Distinct whole documents closer than a twentieth of the longer length."""
+    return document_pairs(spark, sf_dir)
+
+
+@query(
+    "greedy_dedupe",
+    f"""WITH RECURSIVE {NEAR_DOCUMENTS},
+r(gone) AS (SELECT []::BIGINT[] UNION SELECT coalesce((SELECT list_sort(list(DISTINCT e.j)) FROM e
+ WHERE e.i NOT IN (SELECT f.j FROM e f WHERE NOT list_contains(r.gone, f.i))), []) FROM r)
+SELECT doc_id, doc_id = k AND NOT list_contains((SELECT gone FROM r ORDER BY len(gone) DESC LIMIT 1), doc_id) AS kept FROM documents JOIN u USING (text)""",
+)
 def greedy_dedupe(spark, sf_dir):
-    """Greedy near-duplicate removal, identical to the sequential loop."""
-    return N.greedy_kept(user_turns(spark, sf_dir), "key", "text").select("key", "kept")
+    """Greedy removal of near duplicates among whole documents, identical to the sequential loop."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return N.greedy_kept(docs, "doc_id", "text", DOCUMENT_RATIO, document_pairs(spark, sf_dir)).select("doc_id", "kept")
 
 
 @query(
