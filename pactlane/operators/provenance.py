@@ -2,76 +2,53 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.canonical import has_key_fragment, slot_events, stable_hash_text
+from pactlane.functions.folding import Folder, starts, whole_span
 from pactlane.operators.common import count_if, flag, grouping_counts, rate
 from pactlane.operators.leakscan import first_unsafe
 
-def _kept(symbols: bool):
-    """Arrow helper: for every source character what is left of it after NFKC, case folding and the
-    removal of separators (an empty string where nothing is)."""
+SPANS = "array<struct<start:int,end:int>>"
 
-    def of(ch: str) -> str:
-        parts = unicodedata.normalize("NFKC", ch).casefold()
-        gone = "PZS" if symbols else "PZ"
-        return "".join(p for p in parts if unicodedata.category(p)[0] not in gone and not p.isspace())
 
-    def apply(texts: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        for ch in set().union(*(t for t in texts if t is not None)):
-            known[ch] = of(ch)
-        return texts.map(lambda t: None if t is None else [known[ch] for ch in t])
+def _no_spans() -> Column:
+    return F.array().cast(SPANS)
 
-    return F.pandas_udf(apply, ArrayType(StringType()))
 
+def _finder(folded: bool, symbols: bool = False):
+    """Arrow helper: half-open spans of a value in its source. One search runs through the source; its
+    folded form keeps one integer for each character."""
 
-def _starts(value: Column, body: Column) -> Column:
-    """Positions (from 0) at which ``value`` starts in ``body``, overlapping ones too, in one pass: the
-    body is split in front of every occurrence and the lengths of the pieces are added up."""
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    pieces = F.split(body, quoted, -1)
-    begin = F.when(body.startswith(value), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    first = F.struct(begin.alias("found"), F.length(pieces[0]).alias("at"))
-    add = lambda acc, p: F.struct(F.concat(acc["found"], F.array(acc["at"])).alias("found"), (acc["at"] + F.length(p)).alias("at"))
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, add, lambda acc: acc["found"])
+    def spans(value: str, source: str, folder: Folder) -> list[tuple[int, int]]:
+        if not folded:
+            return [(at, at + len(value)) for at in starts(value, source)]
+        wanted = folder.fold(value)[0]
+        body, origin = folder.fold(source)
+        found = {whole_span(origin, at, len(wanted)) for at in starts(wanted, body)}
+        return sorted(found - {None})
 
+    def apply(values: pd.Series, sources: pd.Series) -> pd.Series:
+        folder = Folder(symbols)
+        out = [None if v is None or s is None else [{"start": a, "end": b} for a, b in spans(v, s, folder)] for v, s in zip(values, sources, strict=True)]
+        return pd.Series(out, dtype=object)
 
-def _no_spans() -> Column:
-    return F.array().cast("array<struct<start:int,end:int>>")
+    return F.pandas_udf(apply, SPANS)
 
 
 def with_normalized_spans(df: DataFrame, out: str, value: Column, source: Column, symbols: bool = False) -> DataFrame:
-    """Add ``out``: half-open source spans whose folded text equals the folded value."""
-    df = df.withColumns({"__wanted": F.array_join(_kept(symbols)(value), ""), "__chars": _kept(symbols)(source)})
-    wanted, chars = F.col("__wanted"), F.col("__chars")
-    body = F.array_join(chars, "")
-    # source index of every kept character
-    origin = F.flatten(F.transform(chars, lambda c, i: F.array_repeat(i, F.length(c))))
-    n = F.length(wanted)
-
-    def span(start: Column) -> Column:
-        return F.struct(F.get(origin, start).cast("int").alias("start"), (F.get(origin, start + n - 1) + 1).cast("int").alias("end"))
-
-    found = F.array_sort(F.array_distinct(F.transform(_starts(wanted, body), span)))
-    whole = F.filter(found, lambda s: F.array_join(F.slice(chars, s["start"] + 1, s["end"] - s["start"]), "") == wanted)
-    some = (n > 0) & body.contains(wanted)
-    spans = F.when(some, whole).otherwise(_no_spans())
-    return df.withColumn(out, F.when(wanted.isNotNull() & chars.isNotNull(), spans)).drop("__wanted", "__chars")
+    """Add ``out``: half-open source spans whose folded text equals the folded value (null without either)."""
+    return df.withColumn(out, _finder(True, symbols)(value, source))
 
 
 def exact_spans(value: Column, source: Column) -> Column:
-    """All (also overlapping) occurrences as half-open code-point spans."""
-    n = F.length(value)
-    spans = F.transform(_starts(value, source), lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end")))
-    return F.when(source.contains(value) & (n > 0), spans).otherwise(_no_spans())
+    """All (also overlapping) occurrences as half-open code-point spans; only rows with one go to Python."""
+    some = source.contains(value) & (F.length(value) > 0)
+    return F.coalesce(_finder(False)(F.when(some, value), F.when(some, source)), _no_spans())
 
 
 def span_holds(source: Column, start: Column, end: Column, text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pactlane.operators import decode as X
 from pactlane.operators import provenance as P
+from pactlane.operators import spans as S
 from pactlane.operators.common import grouping_counts
 from pactlane.plans.evaluation_queries import gold, preds, scored
 from pactlane.plans.inputs import table
@@ -71,6 +72,52 @@ def span_statistics(spark, sf_dir):
     return P.span_statistics(diags(spark, sf_dir), ["arm", "split"])
 
 
+# Benchmark texts as they stand, with other separators, and their first sentences.
+VARIANTS = (("whole", "text"), ("dashed", "replace(text, ' ', ' - ')"), ("sentence", "regexp_extract(text, '^[^.]{24,}', 0)"))
+PASSAGES = " UNION ALL ".join(f"SELECT item_id || ':{name}' AS key, {sql} AS text FROM benchmark" for name, sql in VARIANTS)
+
+
+def passages(spark, sf_dir):
+    pairs = ", ".join(f"struct(item_id || ':{name}' AS key, {sql} AS text)" for name, sql in VARIANTS)
+    return table(spark, sf_dir, "benchmark").selectExpr(f"inline(array({pairs}))")
+
+
+def verified_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return written(spark, sf_dir, "span_verify", lambda: S.verified(S.occurrences(passages(spark, sf_dir), docs)))
+
+
+SPAN_SQL = rf"""p AS MATERIALIZED (SELECT key, text AS v, regexp_replace(lower(text), '[\s\p{{P}}\p{{Z}}]+', '', 'g') AS fv FROM ({PASSAGES})),
+s AS MATERIALIZED (SELECT doc_id, text AS t, regexp_replace(lower(text), '[\s\p{{P}}\p{{Z}}]+', '', 'g') AS ft FROM documents),
+h AS MATERIALIZED (SELECT key, doc_id, v, t, fv, ft, list_filter(range(0, length(t) - length(v) + 1), lambda i: substr(t, i + 1, length(v)) = v) AS e,
+ list_filter(range(0, length(ft) - length(fv) + 1), lambda i: substr(ft, i + 1, length(fv)) = fv) AS f FROM p JOIN s ON contains(ft, fv) AND fv <> ''),
+vr AS (SELECT key, doc_id, CASE WHEN len(e) = 1 THEN 'VERIFIED_EXACT_UNIQUE' WHEN len(e) > 1 OR len(f) > 1 THEN 'AMBIGUOUS_MULTIPLE_MATCHES' ELSE 'VERIFIED_NORMALIZED_UNIQUE' END AS status,
+ CASE WHEN len(e) > 0 THEN len(e) ELSE len(f) END AS n, CASE WHEN len(e) = 1 THEN e[1] WHEN len(e) = 0 AND len(f) = 1 THEN
+ list_filter(range(0, length(t)), lambda i: regexp_matches(substr(t, i + 1, 1), '[^\s\p{{P}}\p{{Z}}]'))[f[1] + 1] END AS start FROM h)"""
+
+
+@query(
+    "span_verify",
+    f"""WITH {SPAN_SQL} SELECT key AS passage_key, doc_id AS source_key, status, CASE status WHEN 'VERIFIED_EXACT_UNIQUE' THEN 'exact' WHEN 'VERIFIED_NORMALIZED_UNIQUE' THEN 'normalized' ELSE 'none' END AS match_kind,
+ n AS candidate_span_count, CAST(start AS INT) AS start FROM vr""",
+)
+def span_verify(spark, sf_dir):
+    """benchmark passages inside whole documents, exactly or up to case and separators."""
+    return verified_passages(spark, sf_dir)
+
+
+@query(
+    "passage_statistics",
+    f"""WITH {SPAN_SQL}, g AS (SELECT key, count(*) AS sources, count(*) FILTER (WHERE status = 'VERIFIED_EXACT_UNIQUE') AS exact_unique, count(*) FILTER (WHERE status = 'VERIFIED_NORMALIZED_UNIQUE') AS normalized_unique,
+ count(*) FILTER (WHERE status LIKE 'AMBIG%') AS ambiguous FROM vr GROUP BY key)
+SELECT key AS passage_key, coalesce(sources, 0) AS sources, coalesce(exact_unique, 0) AS exact_unique, coalesce(normalized_unique, 0) AS normalized_unique, coalesce(ambiguous, 0) AS ambiguous,
+ sources IS NULL AS not_found, (exact_unique + normalized_unique) / sources::DOUBLE AS verified_rate FROM p LEFT JOIN g USING (key)""",
+)
+def passage_statistics(spark, sf_dir):
+    """Per passage the documents that hold it, by status."""
+    return S.passage_statistics(passages(spark, sf_dir), verified_passages(spark, sf_dir))
+
+
 @query(
     "sidecars",
     with_rows(
