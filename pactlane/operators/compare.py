@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from pactlane.functions import constants as C
 from pactlane.functions.contract import fields_equal
@@ -165,43 +164,67 @@ def gate(deltas: DataFrame) -> DataFrame:
     return agg.select(label.alias("decision_label"), (label == "PASS_STEP_MATCHED_PILOT").alias("passed"), "guardrails_pass", "primary_non_regressed")
 
 
-_DRAW = StructType(
-    [StructField("split", StringType()), StructField("metric", StringType()), StructField("draw", IntegerType()), StructField("mean", DoubleType())]
-)
+EXACT_BITS = 5  # Poisson draws of means below 2**EXACT_BITS come from tables of their distribution
+
+
+def poisson_table(mean: float) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... until nothing is left that a uniform of 48 bits could tell."""
+    term, out = math.exp(-mean), [math.exp(-mean)]
+    while out[-1] < 1 - 2.0**-50 and term > 0 and len(out) < 1000:
+        term *= mean / len(out)
+        out.append(out[-1] + term)
+        if len(out) > mean and term < 2.0**-60:
+            break
+    return out
+
+
+def uniforms(key: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) from a counter: halves of its digest."""
+    digest = F.md5(key)
+    part = lambda at: (F.conv(F.substring(digest, at, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
+    return part(1), part(13)
+
+
+def poisson(bit: Column, u: Column, v: Column) -> Column:
+    """Poisson number of mean 2**bit from two uniforms: by table, beyond it by a corrected normal quantile."""
+    tables = F.lit([poisson_table(2.0**k) for k in range(EXACT_BITS)])
+    mean = F.pow(F.lit(2.0), bit)
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    far = F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5)
+    near = F.size(F.filter(F.get(tables, bit), lambda p: p <= u))
+    return F.when(bit < EXACT_BITS, near).otherwise(F.greatest(far, F.lit(0))).cast("long")
 
 
-def bootstrap(pairs: DataFrame, metrics: list[str], resamples: int = 2000, seed: int = 7170, chunk: int = 100, rule: str = "count") -> DataFrame:
+def bootstrap(pairs: DataFrame, metrics: list[str], resamples: int = 2000, seed: int = 7170, rule: str = "count") -> DataFrame:
     """Paired bootstrap of the mean delta with a percentile interval.
 
-    Equal deltas are counted first, so resampling n rows with replacement is one multinomial draw
-    over the distinct deltas: the work does not grow with the rows. Draws are spread in chunks and
-    seeded by (seed, split, metric, chunk). ``rule`` picks one of the two published index rules.
+    Rows weigh Poisson(1) in a draw. Equal deltas are counted first, and n of them weigh Poisson(n)
+    together, which is drawn as the sum over the powers of two in n: the work does not grow with the
+    rows. Every number comes from a counter (seed, split, metric, draw, rank of the delta, power), so
+    a draw is the same wherever and whenever it is made. A draw without weight counts as the plain
+    mean. ``rule`` picks one of the two published index rules.
     """
     deltas = pairs.select(
         "split", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(f"t_{m}") - F.col(f"c_{m}"), 12).cast("double").alias("delta")) for m in metrics])).alias("d")
     ).select("split", "d.*")
-    hist = deltas.groupBy("split", "metric", "delta").agg(F.count("*").alias("n"))
-    spread = hist.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // chunk))))
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        split, metric, part = key
-        pdf = pdf.sort_values("delta")
-        n = pdf["n"].to_numpy(dtype=np.int64)
-        words = [seed, int(part), *split.encode(), 0, *metric.encode()]
-        rng = np.random.default_rng(np.random.SeedSequence(words))
-        size = min(chunk, resamples - int(part) * chunk)
-        means = rng.multinomial(n.sum(), n / n.sum(), size=size) @ pdf["delta"].to_numpy() / n.sum()
-        return pd.DataFrame({"split": split, "metric": metric, "draw": int(part) * chunk + np.arange(size, dtype=np.int32), "mean": means})
-
-    draws = spread.groupBy("split", "metric", "chunk").applyInPandas(draw, schema=_DRAW)
+    by = ["split", "metric"]
+    hist = deltas.groupBy(*by, "delta").agg(F.count("*").alias("n")).where("delta IS NOT NULL")
+    ranked = hist.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("delta")))
+    plain = hist.groupBy(*by).agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("plain"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(40)), lambda j: F.getbit(F.col("n"), j) == 1)
+    drawn = ranked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("bit", F.explode(bits))
+    u, v = uniforms(F.concat_ws("|", F.lit(seed), "split", "metric", "draw", "k", "bit"))
+    weighed = drawn.select(*by, "draw", "delta", "bit", u.alias("u"), v.alias("v")).withColumn("w", poisson(F.col("bit"), F.col("u"), F.col("v")))
+    sums = weighed.groupBy(*by, "draw").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("delta")).alias("s"))
+    means = sums.join(plain, by).withColumn("mean", F.round(F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("plain")), 9))
     ordered = F.array_sort(F.collect_list("mean"))
     b = resamples
     if rule == "count":
         lo, hi = int(0.025 * b), int(0.975 * b) - 1
     else:
         lo, hi = int((b - 1) * 0.025), int((b - 1) * 0.975)
-    agg = draws.groupBy("split", "metric").agg(F.avg("mean").alias("mean_delta"), ordered.alias("o"))
-    return agg.select("split", "metric", "mean_delta", F.col("o")[lo].alias("ci_low"), F.col("o")[hi].alias("ci_high"))
+    agg = means.groupBy(*by).agg(F.round(F.avg("mean"), 9).alias("mean_delta"), ordered.alias("o"))
+    return agg.select(*by, "mean_delta", F.col("o")[lo].alias("ci_low"), F.col("o")[hi].alias("ci_high"))
 
 
 # ---- safety and confirmation --------------------------------------------------------------

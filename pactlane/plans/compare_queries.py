@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pactlane.functions.contract import contract_valid, parse_contract
 from pactlane.operators import compare as P
 from pactlane.operators import evaluate as E
+from pactlane.operators import pairing as PI
 from pactlane.operators import projection as V
 from pactlane.plans.evaluation_queries import ARMS, gold, layered, preds, scored
 from pactlane.plans.oracle_parts import LAYER, n, with_rows
@@ -144,7 +145,32 @@ def decision_gate(spark, sf_dir):
     return P.gate(deltas(spark, sf_dir))
 
 
-@query("bootstrap_ci")
+_TABLES = ", ".join(f"'{[float(p) for p in P.poisson_table(2.0**k)]}'::DOUBLE[]" for k in range(P.EXACT_BITS))
+_HALF = "(('0x' || substr(md5(concat_ws('|', 7170, split, metric, draw, k, bit)), {at}, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE"
+BOOT_SQL = (
+    STATUS
+    + f""",
+nf AS (SELECT l.arm, l.id, l.split, CASE WHEN NOT ok THEN 0.0::DOUBLE WHEN g.s IS NULL AND p.s IS NULL THEN 1.0::DOUBLE WHEN g.s IS NULL OR p.s IS NULL THEN 0.0::DOUBLE
+ ELSE 2.0::DOUBLE * len(list_intersect(g.s, p.s)) / (len(g.s) + len(p.s)) END AS f FROM lay2 l
+ LEFT JOIN nset g ON g.side = 'g' AND g.arm = l.arm AND g.id = l.id LEFT JOIN nset p ON p.side = 'p' AND p.arm = l.arm AND p.id = l.id),
+df AS (SELECT split, m.n AS metric, round(m.d, 12) AS delta FROM (SELECT pr.split, unnest([{{'n': 'exact', 'd': (t.exact - c.exact)::DOUBLE}}, {{'n': 'executable', 'd': (t.executable - c.executable)::DOUBLE}},
+ {{'n': 'slot_value_exact_f1', 'd': t.slot_value_exact_f1 - c.slot_value_exact_f1}}]) AS m FROM pr)
+ UNION ALL SELECT a.split, 'slot_value_normalized_f1', round(b.f - a.f, 12) FROM nf a JOIN nf b ON a.id = b.id AND a.arm = 'control' AND b.arm = 'treatment'),
+hs AS (SELECT *, row_number() OVER (PARTITION BY split, metric ORDER BY delta) AS k FROM (SELECT split, metric, delta, count(*) AS n FROM df GROUP BY ALL)),
+dr AS (SELECT * FROM (SELECT split, metric, delta, n, k, unnest(range(2000)) AS draw FROM hs)),
+db AS (SELECT split, metric, delta, draw, k, bit FROM (SELECT *, unnest(range(41)) AS bit FROM dr) WHERE (n >> bit) & 1 = 1),
+un AS (SELECT *, {_HALF.format(at=1)} AS u, {_HALF.format(at=13)} AS v FROM db),
+wt AS (SELECT split, metric, draw, delta, CASE WHEN bit < {P.EXACT_BITS} THEN len(list_filter(([{_TABLES}])[bit + 1], lambda x: x <= u))
+ ELSE greatest(floor(pow(2.0::DOUBLE, bit) + sqrt(pow(2.0::DOUBLE, bit)) * z + (z * z - 1) / 6 + 0.5), 0) END::BIGINT AS w FROM (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM un)),
+mean AS (SELECT split, metric, draw, round(CASE WHEN sum(w) > 0 THEN sum(w * delta) / sum(w) ELSE any_value(plain) END, 9) AS m FROM wt
+ JOIN (SELECT split, metric, sum(delta * n) / sum(n) AS plain FROM hs GROUP BY ALL) USING (split, metric) GROUP BY split, metric, draw)"""
+)
+
+
+@query(
+    "bootstrap_ci",
+    with_rows("SELECT split, metric, round(avg(m), 9) AS mean_delta, list_sort(list(m))[51] AS ci_low, list_sort(list(m))[1950] AS ci_high FROM mean GROUP BY split, metric", BOOT_SQL),
+)
 def bootstrap_ci(spark, sf_dir):
     """Seeded paired bootstrap intervals."""
     return P.bootstrap(status(spark, sf_dir), ["exact", "executable", "slot_value_exact_f1", "slot_value_normalized_f1"])
@@ -283,3 +309,75 @@ def compatibility(spark, sf_dir):
     """Round trip through the core per source kind."""
     df = contract_valid(parse_contract(preds(spark, sf_dir), "raw", "c"), "c").withColumn("source_kind", F.col("arm"))
     return V.compatibility(V.round_trip(df))
+
+
+# ---- paired inputs -----------------------------------------------------------------------
+
+
+def bundle(spark, sf_dir):
+    return written(spark, sf_dir, "paired_inputs", lambda: PI.assemble(gold(spark, sf_dir), scored(spark, sf_dir).select("arm", "id", "raw", "schema_valid")))
+
+
+CANONICAL_GOLD = """'{"confirmation_required":' || g_cf || ',"contract_version":"' || g_ve || '","language":"' || g_la || '","normalized_command":"' || g_cm || '","route":"' || g_rt
+ || '","safety":{"allow":' || g_al || ',"reason":"' || g_re || '"},"slots":' || g_sl || ',"task_type":"' || g_tt || '"}'"""
+PAIRED = f"""pi AS (SELECT arm, id, ordinal, split, sha256(input_text) AS input_hash, sha256({CANONICAL_GOLD}) AS gold_hash, sha256(raw) AS output_hash,
+ CASE WHEN raw IS NULL THEN 'absent' WHEN ok THEN 'valid' ELSE 'invalid' END AS parse_status FROM scored)"""
+
+
+@query("paired_inputs", with_rows("SELECT arm, id, ordinal, split, input_hash, gold_hash, output_hash, parse_status FROM pi", PAIRED))
+def paired_inputs(spark, sf_dir):
+    """Gold and arms assembled with hashes of input, gold and output and the parse status."""
+    return bundle(spark, sf_dir).select("arm", "id", "ordinal", "split", "input_hash", "gold_hash", "output_hash", "parse_status")
+
+
+# A second copy of the bundle with faults, in words that Spark and the checking SQL share.
+FAULTS = {
+    "input_hash": "CASE WHEN arm = 'treatment' AND ordinal % 1013 = 17 THEN sha2(id, 256) ELSE input_hash END",
+    "gold_hash": "CASE WHEN split <> 'test' AND ordinal % 1511 = 805 THEN sha2(id, 256) ELSE gold_hash END",
+    "output_hash": "CASE WHEN arm = 'control' AND ordinal % 997 = 996 THEN NULL ELSE output_hash END",
+    "id": "CASE WHEN arm = 'control' AND split = 'dev' AND ordinal % 2003 = 1 + 5 THEN id || '-other' ELSE id END",
+}
+ABSENT, TWICE = "arm = 'treatment' AND split = 'dev' AND ordinal % 3001 = 1206", "arm = 'treatment' AND split = 'train' AND ordinal % 1709 = 1204"
+FAULTY = f"""fb AS (SELECT arm, split, ordinal, {", ".join(f"{sql.replace('sha2(id, 256)', 'sha256(id)')} AS {name}" for name, sql in FAULTS.items())}, parse_status, unnest(range(CASE WHEN {TWICE} THEN 2 ELSE 1 END)) AS time
+ FROM pi WHERE NOT ({ABSENT}))"""
+
+
+def faulty_bundle(spark, sf_dir):
+    df = bundle(spark, sf_dir).where(f"NOT ({ABSENT})").selectExpr("arm", "split", "ordinal", "parse_status", *[f"{sql} AS {name}" for name, sql in FAULTS.items()], f"explode(sequence(1, CASE WHEN {TWICE} THEN 2 ELSE 1 END)) AS time")
+    return df.drop("time")
+
+
+@query(
+    "first_differences",
+    with_rows(
+        """, bt AS (SELECT coalesce(a.arm, b.arm) AS arm, coalesce(a.split, b.split) AS split, coalesce(a.ordinal, b.ordinal) AS ordinal, a.ids AS left_ids, b.ids AS right_ids, a.n IS DISTINCT FROM b.n AS rows_differ,
+ a.ids IS DISTINCT FROM b.ids AS id, a.i IS DISTINCT FROM b.i AS input, a.g IS DISTINCT FROM b.g AS gold, a.o IS DISTINCT FROM b.o AS output FROM
+ (SELECT arm, split, ordinal, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids, min(input_hash) AS i, min(gold_hash) AS g, min(output_hash) AS o FROM pi GROUP BY ALL) a FULL JOIN
+ (SELECT arm, split, ordinal, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids, min(input_hash) AS i, min(gold_hash) AS g, min(output_hash) AS o FROM fb GROUP BY ALL) b USING (arm, split, ordinal)),
+k AS (SELECT arm, split, ordinal, left_ids, right_ids, unnest([{'k': 'id', 'd': id OR rows_differ}, {'k': 'input', 'd': input OR rows_differ}, {'k': 'gold', 'd': gold OR rows_differ}, {'k': 'output', 'd': output OR rows_differ}]) AS f FROM bt)
+SELECT arm, split, f.k AS kind, min(ordinal) AS ordinal, arg_min_null(left_ids, ordinal) AS left_ids, arg_min_null(right_ids, ordinal) AS right_ids FROM k WHERE f.d GROUP BY ALL""",
+        f"{PAIRED}, {FAULTY}",
+    ).replace("\n, bt", ", bt"),
+)
+def first_differences(spark, sf_dir):
+    """First difference of ids, inputs, gold and outputs between two bundles, by descent through digest trees."""
+    return PI.first_differences(PI.tree(bundle(spark, sf_dir), "bundle"), PI.tree(faulty_bundle(spark, sf_dir), "faulty"))
+
+
+@query(
+    "paired_input_boundary",
+    with_rows(
+        """, gr AS (SELECT split, count(*) AS n FROM pi WHERE arm = 'control' GROUP BY split),
+j AS (SELECT coalesce(b.arm, g.arm) AS arm, coalesce(b.split, g.split) AS split, b.id AS bid, g.id AS gid, b.input_hash IS NOT DISTINCT FROM g.input_hash AS i, b.gold_hash IS NOT DISTINCT FROM g.gold_hash AS q, b.parse_status AS st,
+ count(b.id) OVER (PARTITION BY b.arm, b.split, b.id) AS times FROM fb b FULL JOIN pi g ON g.arm = b.arm AND g.split = b.split AND g.id = b.id),
+a AS (SELECT arm, split, count(bid) AS row_count, count(DISTINCT bid) FILTER (WHERE times > 1) AS repeated_ids, count(*) FILTER (WHERE st = 'valid') AS valid_outputs, count(*) FILTER (WHERE st = 'invalid') AS invalid_outputs,
+ count(*) FILTER (WHERE st = 'absent') AS absent_outputs, bool_and(bid IS NOT NULL AND gid IS NOT NULL AND times = 1) AS ids_match, bool_and(i AND bid IS NOT NULL AND gid IS NOT NULL AND times = 1) AS inputs_match,
+ bool_and(q AND bid IS NOT NULL AND gid IS NOT NULL AND times = 1) AS gold_match FROM j GROUP BY ALL)
+SELECT a.*, concat_ws(',', CASE WHEN row_count <> n THEN 'row_count_mismatch' END, CASE WHEN repeated_ids > 0 THEN 'repeated_ids' END, CASE WHEN NOT ids_match THEN 'id_mismatch' END, CASE WHEN NOT inputs_match THEN 'input_mismatch' END,
+ CASE WHEN NOT gold_match THEN 'gold_mismatch' END, CASE WHEN NOT gold_match THEN 'ordered_hash_mismatch' END) AS blocking_reasons FROM a JOIN gr USING (split)""",
+        f"{PAIRED}, {FAULTY}",
+    ).replace("\n, gr", ", gr"),
+)
+def paired_input_boundary(spark, sf_dir):
+    """Whether each arm's inputs belong to the gold rows, with blocking reasons."""
+    return PI.boundary(gold(spark, sf_dir), faulty_bundle(spark, sf_dir))

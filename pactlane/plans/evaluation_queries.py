@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pactlane.operators import analogues as A
 from pactlane.operators import diagnose as D
 from pactlane.operators import evaluate as E
 from pactlane.operators.common import grouping_counts
@@ -413,3 +414,49 @@ def row_failure_families(spark, sf_dir):
 def remediation_ranking(spark, sf_dir):
     """Residual families ranked for the next change."""
     return D.remediation_ranking(layered(spark, sf_dir), fully(spark, sf_dir))
+
+
+# Training rows without two kinds of contract, so that some held-out families have coarser analogues or none.
+TRAIN = "split = 'train' AND ordinal % 6 <> 3 AND NOT (ordinal % 6 = 5 AND ordinal % 4 = 1)"
+TUNED = "ordinal % 4 = 0 AND ordinal % 6 <> 0"
+
+
+def family_analogues(spark, sf_dir):
+    rows = scored(spark, sf_dir).where("arm = 'treatment'")
+    role = F.when(F.expr(TRAIN), F.lit("train")).when(F.col("split").isin("dev", "test"), F.lit("held_out"))
+    parts = rows.select("source_id", "split", role.alias("role"), F.expr(TUNED).alias("tuned"), (F.col("schema_ok") == 0).alias("invalid"), *A.family_parts(F.col("g")))
+    return A.strategy(A.analogues(parts))
+
+
+ANALOGUE_SQL = f"""fp AS (SELECT *, ordinal % 6 AS k6, g_tt AS p1, g_tt || '|' || g_rt AS p2, g_tt || '|' || g_rt || '|' || g_re AS p3, g_tt || '|' || g_rt || '|' || g_re || '|confirm:' || g_cf AS p4,
+ g_tt || '|' || g_rt || '|' || g_re || '|confirm:' || g_cf || '|slots:' || list_aggregate(list_sort(json_keys(g_sl)), 'string_agg', ',') AS p5 FROM scored WHERE arm = 'treatment'),
+ho AS (SELECT split, source_id, p1, p2, p3, p4, p5, g_tt, g_rt, count(*) AS row_count, count(*) FILTER (WHERE NOT ok) AS invalid_predictions FROM fp WHERE split IN ('dev', 'test') GROUP BY ALL),
+tr AS (SELECT k.l AS l, k.p AS p, count(*) AS n, count(*) FILTER (WHERE {TUNED}) AS tuned FROM (SELECT ordinal, unnest([{{'l': 1, 'p': p1}}, {{'l': 2, 'p': p2}}, {{'l': 3, 'p': p3}}, {{'l': 4, 'p': p4}}, {{'l': 5, 'p': p5}}]) AS k FROM fp WHERE {TRAIN}) GROUP BY ALL),
+an AS (SELECT ho.split, ho.source_id, p5 AS contract_family, g_tt AS task_type, g_rt AS route, row_count, invalid_predictions, CAST(coalesce(max(l), 0) AS INT) AS rung, coalesce(arg_max(n, l), 0) AS train_rows, coalesce(arg_max(tuned, l), 0) AS tuning_rows,
+ coalesce(max(n) FILTER (WHERE l = 5), 0) AS exact_train_rows, coalesce(max(tuned) FILTER (WHERE l = 5), 0) AS exact_tuning_rows
+ FROM ho LEFT JOIN tr ON (l = 1 AND p = p1) OR (l = 2 AND p = p2) OR (l = 3 AND p = p3) OR (l = 4 AND p = p4) OR (l = 5 AND p = p5) GROUP BY ALL),
+ap AS (SELECT *, ['none', 'task_only', 'task_route', 'task_route_reason', 'without_slots', 'contract_family'][rung + 1] AS analogue_level,
+ CASE WHEN rung = 5 THEN 'covered' WHEN rung > 0 THEN 'covered_by_coarser_family' ELSE 'absent' END AS coverage,
+ CASE WHEN exact_train_rows > 0 AND exact_tuning_rows = 0 THEN 'targeted_sft_family_coverage' ELSE 'inspect_data_or_objective_gap' END AS strategy_bucket,
+ CASE contract_family {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.HARD_NEGATIVES.items())} END AS hard_negative_category FROM an)"""
+
+
+@query("train_analogues", with_rows("SELECT * FROM ap", ANALOGUE_SQL))
+def train_analogues(spark, sf_dir):
+    """Each held-out family with the finest training family that matches and its counts."""
+    return family_analogues(spark, sf_dir)
+
+
+@query(
+    "heldout_strategy",
+    with_rows(
+        """SELECT split, count(*) AS families, CAST(sum(row_count) AS BIGINT) AS rows, count(DISTINCT contract_family) FILTER (WHERE exact_tuning_rows = 0) AS absent_from_tuning,
+ count(DISTINCT contract_family) FILTER (WHERE exact_train_rows > 0) AS with_train_analogue, count(DISTINCT contract_family) FILTER (WHERE rung BETWEEN 1 AND 4) AS with_coarser_analogue,
+ count(DISTINCT contract_family) FILTER (WHERE rung = 0) AS without_analogue, count(*) FILTER (WHERE strategy_bucket = 'targeted_sft_family_coverage') AS targeted,
+ coalesce(string_agg(DISTINCT hard_negative_category, ',' ORDER BY hard_negative_category), '') AS hard_negative_categories FROM ap GROUP BY split""",
+        ANALOGUE_SQL,
+    ),
+)
+def heldout_strategy(spark, sf_dir):
+    """Coverage of held-out families by training and tuning rows, per split."""
+    return A.strategy_summary(family_analogues(spark, sf_dir))
