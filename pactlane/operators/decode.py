@@ -54,6 +54,34 @@ def fragment_payload(raw: Column) -> Column:
     return F.when(is_one_json_value(text), text).when(is_one_json_value(part), part).otherwise(T.redact(text))
 
 
+def balanced_object(text: Column) -> Column:
+    """The first object of a text, from its opening brace to the one that closes it; braces inside JSON
+    strings do not count. NULL without a closed object. One pass over the characters."""
+    begin = F.instr(text, "{")
+    body = F.substring(text, begin, F.length(text))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("string"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        depth = s["depth"] + F.when(s["string"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        closed = (s["end"] == 0) & ~s["string"] & (c == "}") & (depth == 0)
+        return F.struct(
+            (s["at"] + 1).alias("at"), depth.alias("depth"), F.when(quote, ~s["string"]).otherwise(s["string"]).alias("string"),
+            (s["string"] & (c == "\\") & ~s["escaped"]).alias("escaped"), F.when(closed, s["at"] + 1).otherwise(s["end"]).alias("end"),
+        )
+
+    end = F.aggregate(F.split(body, ""), start, step, lambda s: s["end"])
+    return F.when((begin > 0) & (end > 0), F.substring(body, F.lit(1), end))
+
+
+def balanced_payload(raw: Column) -> Column:
+    """One JSON value, else the first closed object, else the redacted text."""
+    text = T.strip_ws(raw)
+    whole = is_one_json_value(text)
+    part = balanced_object(F.when(~whole, text))
+    return F.when(whole, text).when(is_one_json_value(part), part).otherwise(T.redact(text))
+
+
 def schema_guard(df: DataFrame, raw: str, retry: str) -> DataFrame:
     """Choose the raw output if valid, else the retry if valid, else none."""
     kept = df.columns

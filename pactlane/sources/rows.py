@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +87,23 @@ def write_metrics(tidy: DataFrame, path: str, run: str) -> None:
     tidy.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write (path, content as bytes) as files below ``root``; tasks write their own files, and a
+    repeated task writes the same ones again."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            for path, content in zip(paths, batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    files.select("path", F.col("content").cast("binary")).mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()
+
+
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """Every decodable file under a folder as (path, text), tool folders skipped."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

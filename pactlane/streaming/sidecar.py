@@ -7,7 +7,7 @@ own id, so a replay after a failure overwrites instead of appending twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlane.functions.contract import contract_valid, is_one_json_value, parse_contract
@@ -58,7 +58,11 @@ def outcome_summary(rows: DataFrame) -> DataFrame:
 
 
 def start_sidecar_stream(preds: DataFrame, policy: DataFrame, out: str, checkpoint: str, enabled: bool = True, once: bool = True):
-    """Start the query: Parquet per micro-batch under ``out``; a null sink when ``out`` is empty."""
+    """Start the query: Parquet per micro-batch under ``out``; a null sink when ``out`` is empty.
+
+    A batch that is run again has the same id and the same input and replaces its own folder, so a
+    reader of ``out`` sees every row once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = outcomes(batch, policy, enabled)
@@ -71,3 +75,16 @@ def start_sidecar_stream(preds: DataFrame, policy: DataFrame, out: str, checkpoi
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def forget_last_commit(spark: SparkSession, checkpoint: str) -> int:
+    """Take back the commit of the last batch, as if the driver had died before it was written; the next
+    start runs that batch again. Returns its id (-1 without a commit)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().isdigit()]
+    last = max(found, key=lambda p: int(p.getName()), default=None)
+    if last is None:
+        return -1
+    store.delete(last, False)
+    return int(last.getName())
