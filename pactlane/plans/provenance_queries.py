@@ -13,6 +13,7 @@ from pactlane.plans.inputs import table
 from pactlane.plans.oracle_parts import n, with_rows
 from pactlane.plans.registry import query
 from pactlane.plans.shared import written
+from pactlane.plans.slot_sql import MECHANISMS, MOVES, PROFILES
 from pactlane.streaming.sidecar import outcome_summary, outcomes
 
 SLOTS = r"""
@@ -248,33 +249,69 @@ def key_policy(spark, sf_dir):
     return P.key_policy(gold_slots(spark, sf_dir).where(F.col("arm") == "control"))
 
 
-@query("slot_mechanisms")
+@query(
+    "slot_mechanisms",
+    with_rows(
+        """SELECT arm, d.n AS dimension, d.v AS value, count(*) AS slots FROM (SELECT arm, unnest([{'n': 'split', 'v': split}, {'n': 'task_type', 'v': task_type}, {'n': 'route', 'v': route}, {'n': 'slot_path', 'v': slot_path},
+ {'n': 'gold_support', 'v': gold_support}, {'n': 'provenance', 'v': provenance}, {'n': 'mechanism', 'v': mechanism}]) AS d FROM mx) GROUP BY ALL""",
+        MECHANISMS,
+    ),
+)
 def slot_mechanisms(spark, sf_dir):
     """Mechanism, support and provenance counts."""
     dims = ["split", "task_type", "route", "slot_path", "gold_support", "provenance", "mechanism"]
     return grouping_counts(mech(spark, sf_dir), ["arm"], dims, [F.count("*").alias("slots")])
 
 
-@query("slot_movements")
+@query(
+    "slot_movements",
+    with_rows(
+        """SELECT *, recovered - regressed AS net_movement, persistent / slots::DOUBLE AS persistent_rate FROM (SELECT split, count(*) AS slots, CAST(count(*) FILTER (WHERE movement LIKE 'ERROR_IN_BOTH%') AS BIGINT) AS persistent,
+ CAST(count(*) FILTER (WHERE movement IN ('RECOVERED_BY_TREATMENT', 'SLOT_ADDED_CORRECTLY')) AS BIGINT) AS recovered,
+ CAST(count(*) FILTER (WHERE movement IN ('INTRODUCED_BY_TREATMENT', 'SLOT_ADDED_INCORRECTLY', 'SLOT_REMOVED_INCORRECTLY')) AS BIGINT) AS regressed FROM mo GROUP BY split)""",
+        MOVES,
+    ),
+)
 def slot_movements(spark, sf_dir):
-    """Movement labels and totals."""
+    """Movement totals per split."""
     return P.movement_summary(P.slot_movements(mech(spark, sf_dir)))
 
 
-@query("top_mechanism_pairs")
+@query(
+    "slot_movement_labels",
+    with_rows(
+        """SELECT movement, d.n AS dimension, d.v AS value, count(*) AS slots FROM (SELECT movement, unnest([{'n': 'split', 'v': split}, {'n': 'task_type', 'v': task_type}, {'n': 'route', 'v': route}, {'n': 'slot_path', 'v': slot_path}]) AS d FROM mo) GROUP BY ALL""",
+        MOVES,
+    ),
+)
+def slot_movement_labels(spark, sf_dir):
+    """The nine movement labels by split, task, route and slot."""
+    return grouping_counts(P.slot_movements(mech(spark, sf_dir)), ["movement"], ["split", "task_type", "route", "slot_path"], [F.count("*").alias("slots")])
+
+
+@query("top_mechanism_pairs", with_rows("SELECT cm, tm, count(*) AS slots FROM mo WHERE movement LIKE 'ERROR_IN_BOTH%' GROUP BY ALL ORDER BY slots DESC, cm, tm LIMIT 8", MOVES))
 def top_mechanism_pairs(spark, sf_dir):
     """K2: most common persistent mechanism pairs."""
     return P.top_mechanism_pairs(P.slot_movements(mech(spark, sf_dir)))
 
 
-@query("slot_profiles")
+@query("slot_profiles", with_rows("SELECT *, round(regression_rate + missing_rate + partial_rate, 9) AS pressure FROM pf ORDER BY pressure DESC, sample_count DESC, slot_path DESC LIMIT 10", PROFILES))
 def slot_profiles(spark, sf_dir):
     """Slot profiles by pressure."""
     m = mech(spark, sf_dir)
     return P.pressure_profiles(P.slot_profiles(m, P.slot_movements(m)))
 
 
-@query("representation_feasibility")
+@query(
+    "representation_feasibility",
+    with_rows(
+        """SELECT *, CASE WHEN n = 0 THEN 'ANALYSIS_BLOCKED_OR_INCONCLUSIVE' WHEN missing_or_extra >= greatest(1, n // 3) THEN 'TASK_SLOT_SCHEMA_CONSTRAINTS_FIRST' WHEN typed >= greatest(1, n // 2) THEN 'TYPED_NORMALIZATION_FIRST'
+ WHEN representations > 1 THEN 'MIXED_SLOT_REPRESENTATION_REQUIRED' WHEN copyable = n THEN 'COPY_OR_NORMALIZE_REPRESENTATION_JUSTIFIED' ELSE 'DATA_DIVERSITY_OR_GENERALIZATION_FIRST' END AS decision_label FROM (
+ SELECT count(*) AS n, CAST(count(*) FILTER (WHERE missing_rate + extra_rate >= 0.12) AS BIGINT) AS missing_or_extra, CAST(count(*) FILTER (WHERE typed_rate >= 0.20) AS BIGINT) AS typed,
+ CAST(count(*) FILTER (WHERE copyable_rate >= 0.75) AS BIGINT) AS copyable, count(DISTINCT representation) AS representations FROM pf)""",
+        PROFILES,
+    ),
+)
 def representation_feasibility(spark, sf_dir):
     """Representation decision."""
     m = mech(spark, sf_dir)
