@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from pactlane.llm.blocks import small, stored, table_of, text_blocks, values
 from pactlane.llm.bpe import byte_letters
-from pactlane.llm.pieces import Memory
+from pactlane.llm.piece_table import PieceTable, solid_at, solid_before, spread
 
 LIMIT = 18
 STRIDE = 256
 BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 1 << 22  # tokens of a range of documents, in the mean
-JOINED = 1 << 14  # characters of pieces encoded in one call
+TEXT_BYTES = 4 << 20  # of texts that are cut and looked up together
+JOINED = 1 << 12  # characters of pieces encoded in one call
 NO_ID = -(1 << 63)
 
 
@@ -157,33 +158,38 @@ class Encoder:
             self.size[k] = len(name) if all(c in letters for c in name) else len(name.encode())
         for t in spec["added_tokens"]:
             self.size[t["id"]] = len(t["content"].encode())
-        self.memory = Memory(self.encode_pieces, limit=500_000)
-
-    def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        """Pieces that may stand one behind the other are encoded as one text and cut by their bytes."""
-        alone = [k for k, t in enumerate(texts) if len(t) < 2 or t[0] != " " or t[1].isspace() or t[-1].isspace()]
-        out: list[bytes] = [b""] * len(texts)
-        for k, e in zip(alone, self.library.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4").tobytes()
-        skip = set(alone)
-        joined, group, size = [], [], 0
-        for k, t in enumerate(texts):
-            if k not in skip:
-                group.append(k)
-                size += len(t)
-                if size >= JOINED:
-                    joined.append(group)
-                    group, size = [], 0
-        joined.append(group)
-        done = self.library.encode_batch_fast(["".join(texts[k] for k in g) for g in joined], add_special_tokens=False)
-        for g, e in zip(joined, done, strict=True):
-            ids = np.array(e.ids, "<u4")
-            stop = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(texts[k].encode()) for k in g]), side="left") + 1
-            data, last = ids.tobytes(), 0
-            for k, b in zip(g, (4 * stop).tolist(), strict=True):
-                out[k] = data[last:b]
-                last = b
-        return out
+        self.table = PieceTable(self.encode_pieces)
+
+    def encode_pieces(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of each). Pieces that open with a space may stand one behind
+        the other: many are encoded as one text, whose tokens are told apart by their bytes."""
+        length = stops - starts
+        # a single space before a character that is none, and no white space at the end
+        joins = (length > 1) & (raw[starts] == 32) & solid_at(raw, np.minimum(starts + 1, len(raw) - 1)) & solid_before(raw, stops)
+        own, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        counts, found = np.zeros(len(starts), np.int64), []
+        ends = np.cumsum(length[own])
+        data = raw[spread(starts[own], length[own])].tobytes()
+        groups = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(own) else 0, JOINED), side="left")
+        edges = np.append(groups, len(own))  # pieces of a text encoded in one call
+        bounds = np.concatenate(([0], ends))[edges]
+        texts = [data[s:e].decode("utf-8") for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k, e in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            group = own[edges[k] : edges[k + 1]]
+            ids = np.array(e.ids, np.uint32)
+            stop = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(length[group]), side="left") + 1
+            counts[group] = np.diff(stop, prepend=0)
+            found.append(ids)
+        single = [raw[s:e].tobytes().decode("utf-8") for s, e in zip(starts[alone].tolist(), stops[alone].tolist(), strict=True)]
+        for k, e in zip(alone, self.library.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            counts[k] = len(e.ids)
+            found.append(np.array(e.ids, np.uint32))
+        ids = np.concatenate(found) if found else np.empty(0, np.uint32)
+        # back into the order of the pieces
+        order = np.concatenate((own, alone))
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return ids[spread(begin, counts)], counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -217,11 +223,12 @@ TOKENS = pa.schema([("docs", pa.binary()), ("hashes", pa.binary()), ("counts", p
 def _tokens(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        close = np.array([end], "<u4").tobytes()
-        for batch, texts in text_blocks(batches):
-            ids, counts = own.memory.ids([(t or b"").decode("utf-8") for t in texts])
-            data, edge = ids.tobytes(), np.concatenate(([0], np.cumsum(counts))) * 4
-            ids = np.frombuffer(b"".join(x for a, b in zip(edge[:-1], edge[1:], strict=True) for x in (data[a:b], close)), "<u4")
+        for batch, texts in text_blocks(batches, limit=TEXT_BYTES):
+            found, counts = own.table.ids([t or b"" for t in texts])
+            ids = np.full(len(found) + len(counts), end, "<u4")
+            inner = np.ones(len(ids), bool)
+            inner[np.cumsum(counts + 1) - 1] = False  # the end id of each document
+            ids[inner] = found
             docs = np.array([NO_ID if d is None else d for d in values(batch, "doc_id")], np.int64)
             hashes = np.array(values(batch, "text_hash"), np.int64)
             yield table_of([(docs.tobytes(), hashes.tobytes(), (counts + 1).tobytes(), pack(ids))], TOKENS)
@@ -307,7 +314,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
         cuts = sorted(set(found or []))
     coded = tokens.mapInArrow(_coded(spark.sparkContext.broadcast(lengths)), "doc_id long, text_hash long, n long, bits binary, checkpoints binary")
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    ordered = coded.withColumn("part", part).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "text_hash")
+    ordered = coded.withColumn("part", part).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text_hash")
     blocks = ordered.mapInArrow(_blocks, "part int, block long, start long, docs binary, counts binary, bits binary, checkpoints binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
 
