@@ -44,7 +44,12 @@ def test_backtracking_equals_the_library(bpe_file, library, texts):
     want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
     assert split(ids, counts) == want
     assert [t.decode() for t in own.decode(ids, counts)] == [library.decode(i, skip_special_tokens=False) for i in want]
-    assert token_files.Encoder(bpe_file).memory.ids(every)[0].tolist() == ids.tolist()
+    table = token_files.Encoder(bpe_file).table
+    assert table.ids([t.encode() for t in every])[0].tolist() == ids.tolist()
+    table.limit = 40  # pieces make room for others all the time
+    for at in range(0, len(every), 7):
+        some = [t.encode() for t in every[at : at + 7]]
+        assert table.ids(some)[0].tolist() == [i for t in every[at : at + 7] for i in library.encode(t, add_special_tokens=False).ids]
 
 
 def test_merges_by_definition(bpe_file):
