@@ -6,6 +6,7 @@ from pactlane.plans import (  # noqa: F401
     curate_queries,
     evaluation_queries,
     provenance_queries,
+    review_queries,
     source_queries,
 )
 from pactlane.plans.registry import ORACLE, QUERIES

@@ -410,12 +410,6 @@ def row_failure_families(spark, sf_dir):
     )
 
 
-@query("remediation_ranking")
-def remediation_ranking(spark, sf_dir):
-    """Residual families ranked for the next change."""
-    return D.remediation_ranking(layered(spark, sf_dir), fully(spark, sf_dir))
-
-
 # Training rows without two kinds of contract, so that some held-out families have coarser analogues or none.
 TRAIN = "split = 'train' AND ordinal % 6 <> 3 AND NOT (ordinal % 6 = 5 AND ordinal % 4 = 1)"
 TUNED = "ordinal % 4 = 0 AND ordinal % 6 <> 0"
