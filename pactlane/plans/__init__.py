@@ -5,6 +5,7 @@ from pactlane.plans import (  # noqa: F401
     corpus_queries,
     curate_queries,
     evaluation_queries,
+    library_queries,
     provenance_queries,
     review_queries,
     source_queries,
