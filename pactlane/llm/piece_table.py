@@ -81,42 +81,76 @@ def hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.n
     return out[0], out[1]
 
 
+class Grown:
+    """An array that is appended to; room for more is made ahead."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.room):
+            self.room = np.concatenate((self.room[: self.size], np.empty(max(need, 2 * self.size) - self.size, self.room.dtype)))
+        self.room[self.size : need] = values
+        self.size = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+FRESH = 1 << 16  # pieces that are looked up apart before they join the sorted rest
+
+
 class PieceTable:
-    """Encoded pieces by hash, sorted; ``encode`` takes a buffer and the starts and stops of pieces in it
-    and gives (ids of all pieces in a row, number of each)."""
+    """Encoded pieces by hash; ``encode`` takes a buffer and the starts and stops of pieces in it and gives
+    (ids of all pieces in a row, number of each). Rows stand in the order of their coming; two sorted
+    lists of hashes, a long one and one of the latest pieces, lead to them."""
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT):
         self.encode, self.limit, self.clock = encode, limit, 0
-        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.start, self.count, self.met = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.stock = np.empty(0, np.uint32)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.check, self.stock = Grown(np.uint64), Grown(np.uint64), Grown(np.uint32)
+        self.start, self.count, self.met = Grown(np.int64), Grown(np.int32), Grown(np.int32)
+        self.sorted = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * 2
 
     def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Row of each piece, -1 if the table does not hold it."""
-        if not len(self.key):
-            return np.full(len(a), -1)
-        at = np.minimum(np.searchsorted(self.key, a), len(self.key) - 1)
-        return np.where((self.key[at] == a) & (self.check[at] == b), at, -1)
-
-    def _add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        if len(self.key) + len(a) > self.limit and len(self.key):
-            self._forget()
-        first = np.cumsum(counts) - counts + len(self.stock)
-        self.stock = np.concatenate((self.stock, ids))
-        columns = (("key", a), ("check", b), ("start", first), ("count", counts.astype(np.int32)), ("met", np.full(len(a), self.clock, np.int32)))
-        order = None
-        for name, new in columns:
-            both = np.concatenate((getattr(self, name), new))
-            order = np.argsort(both, kind="stable") if order is None else order
-            setattr(self, name, both[order])
+        out = np.full(len(a), -1)
+        for keys, rows in self.sorted:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
+                row = rows[at]
+                hit = (keys[at] == a) & (self.check.all[row] == b)
+                out[hit] = row[hit]
+        return out
+
+    def _add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, counts: np.ndarray, met: np.ndarray | int) -> None:
+        rows = np.arange(self.key.size, self.key.size + len(a))
+        self.start.add(np.cumsum(counts) - counts + self.stock.size)
+        for column, new in ((self.key, a), (self.check, b), (self.count, counts), (self.met, np.broadcast_to(met, len(a))), (self.stock, ids)):
+            column.add(new)
+
+        def merged(one: tuple, other: tuple) -> tuple:
+            keys, rows = (np.concatenate(x) for x in zip(one, other, strict=True))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], rows[order]
+
+        long, fresh = self.sorted
+        fresh = merged(fresh, (a, rows))
+        if len(fresh[0]) > FRESH:
+            long, fresh = merged(long, fresh), (fresh[0][:0], fresh[1][:0])
+        self.sorted = [long, fresh]
 
     def _forget(self) -> None:
         """Keep the half that was met last."""
-        keep = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :])
-        counts = self.count[keep].astype(np.int64)
-        self.stock = self.stock[spread(self.start[keep], counts)]
-        self.key, self.check, self.count, self.met = self.key[keep], self.check[keep], self.count[keep], self.met[keep]
-        self.start = np.cumsum(counts) - counts
+        keep = np.sort(np.argsort(self.met.all, kind="stable")[self.met.size // 2 :])
+        counts = self.count.all[keep].astype(np.int64)
+        old = self.key.all[keep], self.check.all[keep], self.stock.all[spread(self.start.all[keep], counts)], counts, self.met.all[keep]
+        self._clear()
+        self._add(*old)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
@@ -137,12 +171,17 @@ class PieceTable:
         new = np.flatnonzero(row < 0)
         if len(new):
             at = first[new]
-            self._add(own[new], b[at], *self.encode(raw, starts[at], stops[at]))
-            row = self._find(own, b[first])
-        self.met[row] = self.clock
+            if self.key.size and self.key.size + len(new) > self.limit:
+                self._forget()
+                row = self._find(own, b[first])
+                new = np.flatnonzero(row < 0)
+                at = first[new]
+            row[new] = np.arange(self.key.size, self.key.size + len(new))
+            self._add(own[new], b[at], *self.encode(raw, starts[at], stops[at]), self.clock)
+        self.met.all[row] = self.clock
         row = row[code]
-        counts = self.count[row].astype(np.int64)
-        found = self.stock[spread(self.start[row], counts)]
+        counts = self.count.all[row].astype(np.int64)
+        found = self.stock.all[spread(self.start.all[row], counts)]
         upto = np.concatenate(([0], np.cumsum(counts)))
         place = np.searchsorted(starts, edges)
         return found, np.diff(upto[place])
