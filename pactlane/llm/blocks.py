@@ -7,6 +7,7 @@ does not depend on the batch size or on how long the texts are (one text is neve
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -120,6 +121,28 @@ def whole_runs(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, owner[starts]
 
 
+def sheltered(*own: str):
+    """For an operator on a table with any further columns: those get plain names inside and their own
+    names again in its result, so none can clash and dots do no harm. A column of the input that has
+    the name of a result column comes back as ``<name>_input``. ``own`` are the columns it reads."""
+
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            names = docs.columns
+            inner = [c if c in own else f"extra_{k}_" for k, c in enumerate(names)]
+            if inner == names:
+                return fn(docs, *args, **options)
+            out = fn(docs.toDF(*inner), *args, **options)
+            made = set(out.columns) - set(inner)
+            back = {i: f"{c}_input" if c in made else c for i, c in zip(inner, names, strict=True)}
+            return out.toDF(*[back.get(c, c) for c in out.columns])
+
+        return run
+
+    return wrap
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``."""
     ensure_checkpoint_dir(spark)

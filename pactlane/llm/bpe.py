@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pactlane.llm.blocks import give_back, text_blocks
+from pactlane.llm.blocks import give_back, sheltered, text_blocks
 from pactlane.llm.pieces import Memory
 
 # Fixed value: the split pattern of the byte-level pre-tokenizer.
@@ -234,6 +234,7 @@ def _encode(path: str, remembered: int):
     return run
 
 
+@sheltered("doc_id", "text")
 def encode(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``__ids``, the token ids of ``text``."""
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import text_blocks, values
+from pactlane.llm.blocks import sheltered, text_blocks, values
 
 WIDTH = 10
 BLOCK_WORDS = 200_000  # benchmark words per automaton, in the mean
@@ -181,6 +181,7 @@ def _scan(block, width: int, finish=None):
     return run
 
 
+@sheltered("doc_id", "text")
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``__n_words``, ``__runs`` (packed int32 pairs of hit words: first, one past last)
     and ``__items`` (ids, as sorted strings, of the items that were met)."""
@@ -248,6 +249,7 @@ def _cut(max_coverage: float):
     return run
 
 
+@sheltered("doc_id", "text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` with hit words cut out of ``text``; documents with more than ``max_coverage`` of
     their words hit are dropped. Documents without hits keep their text as it is."""

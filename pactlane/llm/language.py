@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import fold, mix, stored, text_blocks, values
+from pactlane.llm.blocks import fold, mix, sheltered, stored, text_blocks, values
 
 BUCKETS = 1 << 16
 MAX_TRAIN = 20_000
@@ -152,6 +152,7 @@ def _predict(model):
     return run
 
 
+@sheltered("doc_id", "text")
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``__lang`` and ``__score``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

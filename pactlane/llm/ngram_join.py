@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import WordHashes, rolling, small, stored, text_blocks, values, whole_runs
+from pactlane.llm.blocks import WordHashes, rolling, sheltered, small, stored, text_blocks, values, whole_runs
 from pactlane.llm.components import components
 
 RANKED = 1 << 18  # most frequent shingles that go last in the order of rareness
@@ -358,6 +358,7 @@ def similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     )
 
 
+@sheltered("doc_id", "text")
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component: the smallest (doc_id, text hash), nulls first. Rows
     with an empty set link with nothing and all stay."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import WordHashes, mix, rolling, small, stored, text_blocks, values, whole_runs
+from pactlane.llm.blocks import WordHashes, mix, rolling, sheltered, small, stored, text_blocks, values, whole_runs
 
 WIDTH = 20
 RUN = 3  # words hashed together for the minimiser
@@ -222,6 +222,7 @@ def _apply(width: int, digest: bool):
     return run
 
 
+@sheltered("doc_id", "text")
 def deduplicate(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any others) with repeated windows cut out of ``text``, plus
     ``__n_words`` and ``__n_removed``. With ``digest`` the text column holds the sha256 of the kept

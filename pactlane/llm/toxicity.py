@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import fold, small, stored, text_blocks, values
+from pactlane.llm.blocks import fold, sheltered, small, stored, text_blocks, values
 from pactlane.llm.decontaminate import words_of
 
 MAX_TRAIN = 50_000
@@ -188,6 +188,7 @@ def _score(model):
     return run
 
 
+@sheltered("doc_id", "text")
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``__score`` (chance of label 1) and ``__passages`` (significant toxic segments)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlane.llm.blocks import stored
+from pactlane.llm.blocks import sheltered, stored
 
 DAMPING = 0.85
 STEPS = 12
@@ -88,6 +88,7 @@ def host_shares(pages: DataFrame, links: DataFrame, damping: float = DAMPING, st
     return ranks.select("host", (F.col("t") / F.col("u")).alias("trust"), (F.col("d") / F.col("v")).alias("distrust"))
 
 
+@sheltered("page_id", "url", "html")
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` (url, html, any others) with ``__host``, ``__path``, ``__rule`` and ``__verdict``."""
     host, path = url_host(F.col("url")), url_path(F.col("url"))
