@@ -39,6 +39,14 @@ HEADLINE = [
     "redacted_texts",
     "ordered_line_hash",
     "metric_deltas",
+    "span_verify",
+    "near_dup_pairs",
+    "greedy_dedupe",
+    "jaccard_overlaps",
+    "slot_mechanisms",
+    "first_differences",
+    "train_analogues",
+    "case_design",
 ]
 
 

@@ -30,11 +30,17 @@ def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
     return docs.select(*before.columns)
 
 
+OWN = ("doc_id", "text", "n_chars")  # columns that stages read; the others get plain names while a stage runs
+
+
 def _stage(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        return fn(spark, docs, sf_dir)
+        inner = [c if c in OWN else f"extra_{k}_" for k, c in enumerate(docs.columns)]
+        back = dict(zip(inner, docs.columns, strict=True))
+        out = fn(spark, docs.toDF(*inner), sf_dir)
+        return out.toDF(*[back.get(c, c) for c in out.columns])
 
     return run
 

@@ -336,12 +336,13 @@ def strict_residuals(rows: DataFrame) -> DataFrame:
 def residual_clusters(records: DataFrame, k: int = 5) -> DataFrame:
     """Clusters by family, path, category and mismatch kind, ranked by rows, fields and name."""
     keys = ["arm", "task_family", "field_path", "category", "mismatch_category"]
-    agg = records.groupBy(*keys).agg(
-        F.count_distinct("split", "id").alias("residual_rows"),
-        F.count("*").alias("residual_fields"),
-        F.count_distinct("source_id").alias("source_families"),
-        F.count_distinct(F.when(F.col("split") == "dev", F.col("id"))).alias("dev_rows"),
-        F.count_distinct(F.when(F.col("split") == "test", F.col("id"))).alias("test_rows"),
+    # rows first, then families, then clusters: distinct counts become sums (an id has one source and split)
+    rows = records.groupBy(*keys, "source_id", "split", "id").agg(F.count("*").alias("n"))
+    of = lambda s: count_if(F.col("split") == s)
+    families = rows.groupBy(*keys, "source_id").agg(F.count("*").alias("rows"), F.sum("n").alias("fields"), of("dev").alias("dev"), of("test").alias("test"))
+    total = lambda c, name: F.sum(c).cast("bigint").alias(name)
+    agg = families.groupBy(*keys).agg(
+        total("rows", "residual_rows"), total("fields", "residual_fields"), F.count("*").alias("source_families"), total("dev", "dev_rows"), total("test", "test_rows")
     )
     shown = examples(records.select(*keys, "ordinal", "id"), keys, "ordinal", "id", k, "examples")
     ranked = agg.join(shown, keys, "left")

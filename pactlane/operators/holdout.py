@@ -9,10 +9,9 @@ from pactlane.functions import canonical as J
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import contract_valid, json_literal, parse_contract
-from pactlane.operators.common import beside, facts_beside, union_all
+from pactlane.operators.common import beside, facts_beside, places, union_all
 
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
-RANGE_BITS = 16  # ordinals of a range that is numbered at a time
 FAN_BITS = 10  # digests joined into one of the next level: 1024
 LEVELS = 7  # 2**70 values
 
@@ -56,15 +55,8 @@ def content_hash(raw: Column) -> Column:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Add ``place``: 0, 1, 2 ... in ``ordinal`` order. Ordinals are integers; ranges of them are counted,
-    the counts are added up over the ranges, and rows are ranked only inside their range."""
-    df = df.withColumn("__range", F.shiftright("ordinal", RANGE_BITS))
-    counts = df.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy("ordinal")) - 1
-    out = df.join(offsets, F.col("__range") == F.col("__r")).withColumn("place", F.col("__before") + rank)
-    return out.drop("__range", "__r", "__before")
+    """Add ``place``: 0, 1, 2 ... in ``ordinal`` order, from counts of sampled ranges of ordinals."""
+    return places(df, ["ordinal"])
 
 
 def ordered_hash(df: DataFrame, value: str, style: str = "json") -> DataFrame:
@@ -75,7 +67,8 @@ def ordered_hash(df: DataFrame, value: str, style: str = "json") -> DataFrame:
     that can only be made in one task; no task here holds more than 1024 digests.
     """
     leaf = json_literal(F.col(value)) if style == "json" else F.concat(F.col(value), F.lit("\n"))
-    level = numbered(df.where(F.col(value).isNotNull())).select("place", F.sha2(leaf, 256).alias("h"), F.lit(1).cast("bigint").alias("n"))
+    leaves = df.where(F.col(value).isNotNull()).select("ordinal", F.sha2(leaf, 256).alias("h"))
+    level = numbered(leaves).select("place", "h", F.lit(1).cast("bigint").alias("n"))
     for _ in range(LEVELS):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda e: e["h"]), ",")
         level = level.groupBy(F.shiftright("place", FAN_BITS).alias("up")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))

@@ -135,10 +135,9 @@ def metrics(recs: DataFrame, by: list[str]) -> DataFrame:
 def failure_contribution(recs: DataFrame) -> DataFrame:
     """Failure classes per arm and split (and over everything) with shares and what the core removes."""
     fails = recs.where("l0_exact = 0")
-    agg = fails.cube("arm", "split", "category").agg(
-        F.count("*").alias("failures"), F.sum("l2_exact").cast("bigint").alias("eliminated"), F.grouping_id().alias("gid")
+    cells = fails.groupingSets([["arm", "split", "category"], ["category"]], "arm", "split", "category").agg(
+        F.count("*").alias("failures"), F.sum("l2_exact").cast("bigint").alias("eliminated")
     )
-    cells = agg.where(F.col("gid").isin(0, 6)).select("arm", "split", "category", "failures", "eliminated")
     total = cells.groupBy("arm", "split").agg(F.sum("failures").alias("total"))
     joined = cells.alias("a").join(
         total.alias("b"), F.col("a.arm").eqNullSafe(F.col("b.arm")) & F.col("a.split").eqNullSafe(F.col("b.split"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlane.functions import constants as C
-from pactlane.operators.common import count_if, first_k, flag, grouping_counts, rate, stored
+from pactlane.operators.common import count_if, first_k, flag, grouping_counts, places, rate
 
 # ---- counts that must add up ------------------------------------------------------------
 
@@ -33,17 +33,6 @@ def reconcile(reported: DataFrame, dims: list[str]) -> DataFrame:
 # ---- case design ---------------------------------------------------------------------------
 
 
-def places(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``place`` (0, 1, 2 ... by ``order``, whose values are distinct): rows are dealt out by ranges,
-    the ranges are counted, and rows are ranked inside their range only."""
-    ranged = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__range", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.join(offsets, "__range").withColumn("place", F.col("__before") + rank).drop("__range", "__before")
-
-
 def case_design(records: DataFrame, values: int = 3, themes: int = 4) -> DataFrame:
     """Groups of residuals by source family and drift bucket for writing new cases: counts, the first gold
     and wrong values, a sketch of the fields that drift, and the theme that the family falls to when the
