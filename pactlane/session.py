@@ -35,9 +35,10 @@ def local_session(cores: str = "8", app: str = "pactlane", shuffle_partitions: i
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per session), which need not have it installed."""
+    """Send this package to the executors (once per session), which need not have it installed; Python
+    workers of a local session do not share the driver's path either."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     root = Path(__file__).resolve().parent
