@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 from pactlane.functions import constants as C
 from pactlane.functions.fingerprints import code_points, mixed, run_hashes, window_minima
 from pactlane.functions.folding import Folder, whole_span
-from pactlane.operators.common import count_if, rate, stored
+from pactlane.operators.common import count_if, fits, rate, stored
 
 # (characters of a run, runs of a window): a passage belongs to the first level whose window it fills
 LEVELS = ((16, 16), (4, 4), (1, 1))
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-BROADCAST_BYTES = 32 << 20
 
 
 def level_of(size: int) -> int:
@@ -136,11 +135,6 @@ def _check(kind: pa.DataType):
     return run
 
 
-def _fits(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A stored frame, broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def occurrences(passages: DataFrame, sources: DataFrame) -> DataFrame:
     """Every place of every passage (key, text) in every source (key, text): passage_key, source_key,
     start and end (of the folded match, half-open, in code points; null where only the passage as it
@@ -154,7 +148,7 @@ def occurrences(passages: DataFrame, sources: DataFrame) -> DataFrame:
         schema = f"passage_key {passages.schema['key'].dataType.simpleString()}, source_key {kind.simpleString()}, start int, end int, exact_start int"
         return passages.sparkSession.createDataFrame([], schema)
     runs = sources.mapInArrow(_document_runs(levels), f"source_key {kind.simpleString()}, level int, run long, place int, length int")
-    found = stored(runs.join(_fits(wanted, 16), ["level", "run"], "left_semi"), "found-runs")
+    found = stored(runs.join(fits(wanted, 16), ["level", "run"], "left_semi"), "found-runs")
     often = found.groupBy("level", "run").agg(F.count("*").alias("n"))
     # the run that documents hold least often, if they hold all of them
     own = values.select("passage", "level", "size", "lead", "raw_size", "f1", "f2", "r1", "r2", F.explode("runs").alias("r"))
@@ -162,7 +156,7 @@ def occurrences(passages: DataFrame, sources: DataFrame) -> DataFrame:
     anchor = held.groupBy("passage").agg(F.min(F.struct("n", "own_place", "level", "run", "size", "lead", "raw_size", "f1", "f2", "r1", "r2")).alias("a"))
     anchors = stored(anchor.where("a.n > 0").select("passage", "a.*").drop("n"), "anchors")
     start = F.col("place") - F.col("own_place")
-    possible = found.join(_fits(anchors, 80), ["level", "run"]).where((start >= 0) & (start + F.col("size") <= F.col("length")))
+    possible = found.join(fits(anchors, 80), ["level", "run"]).where((start >= 0) & (start + F.col("size") <= F.col("length")))
     hit = F.struct("passage", start.alias("start"), "size", "lead", "raw_size", "f1", "f2", "r1", "r2")
     grouped = possible.groupBy("source_key").agg(F.collect_list(hit).alias("hits"))
     beside = sources.select(F.col("key").alias("source_key"), "text").join(grouped, "source_key").select("source_key", "text", "hits")

@@ -110,3 +110,15 @@ def test_occurrences_match_plain_search(spark):
         assert checked[key].candidate_span_count == n
         assert checked[key].status == ("AMBIGUOUS_MULTIPLE_MATCHES" if n > 1 else "VERIFIED_EXACT_UNIQUE" if exact else "VERIFIED_NORMALIZED_UNIQUE")
     assert S.occurrences(p.where(F.col("key") == "p902"), s).collect() == []
+
+
+def test_prints_travel_packed_to_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET_PRINTS", 500)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(900)) for _ in range(30)]
+    texts += [edited(rng, t, 20) for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "first long, text string")
+    assert {(r.i, r.j) for r in N.edit_pairs(df, 0.05).collect()} == {(k, 30 + k) for k in range(10)}
+    rows = df.select(F.col("first"), "text").mapInArrow(N._pack(0.05, 4, 1, N.np.empty(0, N.np.uint64)), N.PACKED).collect()
+    held = sum(len(r[c]) for r in rows for c in ("ids", "sizes", "needs", "behind", "counts", "prints", "weights"))
+    assert held < 3 * sum(map(len, texts))
