@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from pactlane.functions.contract import is_one_json_value, with_contract
 from pactlane.operators.common import count_if
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fragment(text: Column) -> Column:
     """Text between the first ``{`` and the last ``}``, NULL when there is none."""
     first = F.instr(text, "{")
@@ -43,15 +50,17 @@ def attempt(raw: Column) -> Column:
 
 def strict_payload(raw: Column) -> Column:
     """The text itself when it is one JSON value, else its redacted form."""
-    text = T.strip_ws(raw)
-    return F.when(is_one_json_value(text), text).otherwise(T.redact(text))
+    return once(T.strip_ws(raw), lambda text: F.when(is_one_json_value(text), text).otherwise(T.redact(text)))
+
+
+def _whole_or_part(raw: Column, taken: Callable[[Column], Column]) -> Column:
+    part_or_redacted = lambda text: once(taken(text), lambda part: F.when(is_one_json_value(part), part).otherwise(T.redact(text)))
+    return once(T.strip_ws(raw), lambda text: F.when(is_one_json_value(text), text).otherwise(part_or_redacted(text)))
 
 
 def fragment_payload(raw: Column) -> Column:
     """One JSON value, else the braces fragment, else the redacted text."""
-    text = T.strip_ws(raw)
-    part = fragment(text)
-    return F.when(is_one_json_value(text), text).when(is_one_json_value(part), part).otherwise(T.redact(text))
+    return _whole_or_part(raw, fragment)
 
 
 def balanced_object(text: Column) -> Column:
@@ -70,16 +79,13 @@ def balanced_object(text: Column) -> Column:
             (s["string"] & (c == "\\") & ~s["escaped"]).alias("escaped"), F.when(closed, s["at"] + 1).otherwise(s["end"]).alias("end"),
         )
 
-    end = F.aggregate(F.split(body, ""), start, step, lambda s: s["end"])
-    return F.when((begin > 0) & (end > 0), F.substring(body, F.lit(1), end))
+    end = F.when(begin > 0, F.aggregate(F.split(body, ""), start, step, lambda s: s["end"]))
+    return once(end, lambda end: F.when(end > 0, F.substring(body, F.lit(1), end)))
 
 
 def balanced_payload(raw: Column) -> Column:
     """One JSON value, else the first closed object, else the redacted text."""
-    text = T.strip_ws(raw)
-    whole = is_one_json_value(text)
-    part = balanced_object(F.when(~whole, text))
-    return F.when(whole, text).when(is_one_json_value(part), part).otherwise(T.redact(text))
+    return _whole_or_part(raw, balanced_object)
 
 
 def schema_guard(df: DataFrame, raw: str, retry: str) -> DataFrame:

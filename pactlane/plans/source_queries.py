@@ -154,5 +154,5 @@ def _whole(c: str) -> str:
 def object_payloads(spark, sf_dir):
     """Objects taken out of damaged outputs: strictly, by outer braces and by balanced braces."""
     rows = scored(spark, sf_dir).where("raw IS NOT NULL AND ordinal % 7 <> 3").select("arm", "id", F.expr(DAMAGED).alias("t"))
-    value = lambda payload: F.when(is_one_json_value(payload), payload)
+    value = lambda payload: X.once(payload, lambda p: F.when(is_one_json_value(p), p))
     return rows.select("arm", "id", *[value(f(F.col("t"))).alias(n) for n, f in (("strict", X.strict_payload), ("fragment", X.fragment_payload), ("balanced", X.balanced_payload))])

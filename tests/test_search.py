@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlane.functions.folding import Folder, starts
+from pactlane.operators import decode as X
 from pactlane.operators import neardup as N
 from pactlane.operators import spans as S
 
@@ -122,3 +123,11 @@ def test_prints_travel_packed_to_many_buckets(spark, monkeypatch):
     rows = df.select(F.col("first"), "text").mapInArrow(N._pack(0.05, 4, 1, N.np.empty(0, N.np.uint64)), N.PACKED).collect()
     held = sum(len(r[c]) for r in rows for c in ("ids", "sizes", "needs", "behind", "counts", "prints", "weights"))
     assert held < 3 * sum(map(len, texts))
+
+
+def test_balanced_payload_walks_a_text_once(spark):
+    texts = ['{"a":1}', 'x {"a":{"b":"}"}} {', "none", None, "{", '{"a":1} {"b":2}', "  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.balanced_payload(F.col("t")).alias("out"))
+    assert [r.out for r in df.collect()] == ['{"a":1}', '{"a":{"b":"}"}}', "none", None, "{", '{"a":1}', ""]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
