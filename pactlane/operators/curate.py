@@ -284,7 +284,8 @@ def check_pairs(pairs: DataFrame) -> DataFrame:
         .when(F.col("r_ok") & _same_contract(c, r), F.lit("weak_pair"))
         .otherwise(strength)
     )
-    return df.select(*kept, violation.alias("violation"))
+    # a filter on the verdict would be pushed below the parse and repeat it for every rule, but for the explode
+    return df.select(*kept, F.explode(F.array(violation)).alias("violation"))
 
 
 def _all_equal(side: Column, wanted: dict) -> Column:
@@ -314,7 +315,8 @@ def check_rows(rows: DataFrame) -> DataFrame:
         .when(~F.col("schema_valid"), F.lit("invalid_contract"))
         .when(F.col("provenance").isNull(), F.lit("missing_provenance"))
     )
-    return df.select(*kept, violation.alias("violation"))
+    # a filter on the verdict would be pushed below the parse and repeat it for every rule, but for the explode
+    return df.select(*kept, F.explode(F.array(violation)).alias("violation"))
 
 
 def check_seeds(seeds: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlane.functions.folding import Folder, starts
+from pactlane.operators import curate as K
 from pactlane.operators import decode as X
 from pactlane.operators import neardup as N
 from pactlane.operators import spans as S
@@ -131,3 +132,11 @@ def test_balanced_payload_walks_a_text_once(spark):
     assert [r.out for r in df.collect()] == ['{"a":1}', '{"a":{"b":"}"}}', "none", None, "{", '{"a":1}', ""]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_a_filter_on_the_verdict_does_not_repeat_the_parse(spark):
+    df = spark.createDataFrame([("a", "dev", "x", "{}", "p")], "id string, split string, input_text string, target string, provenance string")
+    out = K.check_rows(df)
+    reads = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+    assert reads(out.where("violation IS NOT NULL")) == reads(out) > 0
+    assert [r.violation for r in out.where("violation IS NOT NULL").collect()] == ["invalid_contract"]
