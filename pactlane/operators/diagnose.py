@@ -187,8 +187,8 @@ FIELD_FAMILY = {
 }
 
 
-def residuals(typed: DataFrame) -> DataFrame:
-    """One row per residual of every prediction that is not a strict pass."""
+def with_residuals(typed: DataFrame) -> DataFrame:
+    """Add array ``found`` with the residuals of a prediction; they follow from the two texts alone."""
     g, p, t, st = (F.col(x) for x in ("g", "p", "t", "st"))
     none = F.array().cast(RES_TYPE)
     missing = F.lit("missing")
@@ -250,7 +250,14 @@ def residuals(typed: DataFrame) -> DataFrame:
     )
     strict_pass = F.col("exact_ok") == 1
     found = F.when(strict_pass, none).otherwise(F.when(permissive_valid(), core).otherwise(broken))
-    return typed.select(*KEEP, F.posexplode(found).alias("position", "r")).select(*KEEP, "position", "r.*")
+    return typed.withColumn("found", found)
+
+
+def residuals(typed: DataFrame, **more: Column) -> DataFrame:
+    """One row per residual of every prediction that is not a strict pass, with further columns of its row."""
+    rows = typed if "found" in typed.columns else with_residuals(typed)
+    kept = rows.select(*KEEP, *[c.alias(n) for n, c in more.items()], F.posexplode("found").alias("position", "r"))
+    return kept.select(*KEEP, *more, "position", "r.*")
 
 
 def residual_families(typed: DataFrame, by: list[str]) -> DataFrame:
@@ -502,9 +509,8 @@ def remediation_ranking(layered: DataFrame, typed: DataFrame) -> DataFrame:
         "invalid_output": ("invalid_output", "missing_field"),
     }
     pairs = [F.lit(x) for name, fams in sources.items() for fam in fams for x in (fam, name)]
-    res = residuals(typed).where(F.col("split").isin("dev", "test"))
-    named = res.withColumn("target", F.element_at(F.create_map(*pairs), F.col("family"))).where(F.col("target").isNotNull())
-    with_task = named.join(typed.select("arm", "id", F.col("g.task_type").alias("task")), ["arm", "id"])
+    res = residuals(typed, task=F.col("g.task_type")).where(F.col("split").isin("dev", "test"))
+    with_task = res.withColumn("target", F.element_at(F.create_map(*pairs), F.col("family"))).where(F.col("target").isNotNull())
     unsafe = layered.where((F.col("unsafe_fn") == 1) & F.col("split").isin("dev", "test")).select(
         "arm", "split", F.lit("unsafe_false_negative").alias("target"), F.col("g.task_type").alias("task")
     )
