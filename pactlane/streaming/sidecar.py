@@ -37,16 +37,22 @@ def hook_status(enabled: bool = True, policy_ok: bool = True) -> tuple[Column, C
 
 def outcomes(preds: DataFrame, policy: DataFrame, enabled: bool = True, policy_ok: bool = True) -> DataFrame:
     """One outcome row per prediction with its sidecar counts and diagnostics."""
-    parsed = contract_valid(parse_contract(preds, "raw", "p"), "p")
+    # what follows from source and prediction is found once per distinct pair of them; ids may repeat within a batch
+    texts = [F.col("input_text"), F.col("raw")]
+    marks = [c.isNull() for c in texts]
+    keys = {"key_a": F.xxhash64(*marks, *texts), "key_b": F.xxhash64(F.lit("pair"), *marks, *texts)}
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = preds.select("input_text", "raw").distinct().withColumns(keys).repartition(parts, *keys)
+    parsed = contract_valid(parse_contract(pairs, "raw", "p"), "p")
     status, code = hook_status(enabled, policy_ok)
     parsed = parsed.withColumn("hook_status", status).withColumn("error_code", code)
-    # equal predictions share one sidecar, found again by their content: ids may repeat within a batch
-    parsed = parsed.withColumn("row_key", F.sha2(F.to_json(F.struct("arm", "id", "split", "input_text", "raw")), 256))
-    usable = parsed.where("hook_status = 'COMPLETED'").withColumn("id", F.col("row_key")).dropDuplicates(["row_key"])
-    cars = sidecars(diagnostics(slot_table(usable), policy)).select(F.col("id").alias("row_key"), "trusted_count", "candidate_count", "slot_diagnostics")
-    return parsed.select("arm", "id", "ordinal", "split", F.sha2("input_text", 256).alias("input_hash"), "hook_status", "error_code", "row_key").join(
-        cars, "row_key", "left"
-    ).drop("row_key").na.fill(0, ["trusted_count", "candidate_count"])
+    usable = parsed.where("hook_status = 'COMPLETED'").withColumns(
+        {"id": F.struct(*keys), "arm": F.lit(""), "split": F.lit(""), "ordinal": F.lit(0).cast("long")}
+    )
+    cars = sidecars(diagnostics(slot_table(usable), policy)).select("id.*", "trusted_count", "candidate_count", "slot_diagnostics")
+    found = parsed.select(*keys, F.sha2("input_text", 256).alias("input_hash"), "hook_status", "error_code").join(cars, [*keys], "left")
+    rows = preds.select("arm", "id", "ordinal", "split", *[c.alias(k) for k, c in keys.items()]).join(found, [*keys])
+    return rows.drop(*keys).na.fill(0, ["trusted_count", "candidate_count"])
 
 
 def outcome_summary(rows: DataFrame) -> DataFrame:
