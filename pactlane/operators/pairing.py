@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlane.functions.canonical import canonical_json
-from pactlane.operators.common import count_if, stored
+from pactlane.operators.common import count_if, fits, stored
+from pactlane.operators.evaluate import PAIR
 
 KINDS = ("id", "input", "gold", "output")
 FAN_BITS = 10
@@ -34,11 +35,29 @@ def assemble(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     kept = kept.select(
         "id", "ordinal", "split", "input_text", F.sha2("input_text", 256).alias("input_hash"), "gold", F.sha2("gold", 256).alias("gold_hash")
     )
-    status = F.when(F.col("raw").isNull(), F.lit("absent")).when(F.col("schema_valid"), F.lit("valid")).otherwise(F.lit("invalid"))
-    out = predicted.select("arm", "id", "raw", F.sha2("raw", 256).alias("output_hash"), status.alias("parse_status"))
+    out = predicted.select("arm", "id", "raw", F.sha2("raw", 256).alias("output_hash"), _status().alias("parse_status"))
     return kept.join(out, "id")
 
 
+def assemble_once(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``assemble`` from rows that share their texts: ``rows`` of ``evaluate.paired`` and what follows from
+    each pair of texts (gold, raw, schema_valid), so that gold is rendered and hashed once a pair."""
+    once = judged.select(*PAIR, canonical_json("gold").alias("gold"), "raw", "schema_valid")
+    once = once.select(*PAIR, "gold", F.sha2("gold", 256).alias("gold_hash"), "raw", F.sha2("raw", 256).alias("output_hash"), _status().alias("parse_status"))
+    once = stored(once, "hashed-pairs")
+    kept = rows.select("id", "ordinal", "split", "input_text", F.sha2("input_text", 256).alias("input_hash"), "arm", *PAIR)
+    return kept.join(fits(once, PAIR_BYTES), PAIR).select(
+        "id", "ordinal", "split", "input_text", "input_hash", "gold", "gold_hash", "arm", "raw", "output_hash", "parse_status"
+    )
+
+
+PAIR_BYTES = 400  # of a pair with the hashes that a query reads
+
+
+def _status() -> Column:
+    return F.when(F.col("raw").isNull(), F.lit("absent")).when(F.col("schema_valid"), F.lit("valid")).otherwise(F.lit("invalid"))
+
+
 def bundle_hash(*parts: Column) -> tuple[Column, Column]:
     """Two independent 63-bit hashes of a row's part, as numbers whose sums stay exact."""
     return tuple(F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 1).cast("decimal(20,0)") for seed in (1, 2))

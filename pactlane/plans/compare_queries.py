@@ -9,7 +9,7 @@ from pactlane.operators import compare as P
 from pactlane.operators import evaluate as E
 from pactlane.operators import pairing as PI
 from pactlane.operators import projection as V
-from pactlane.plans.evaluation_queries import ARMS, gold, layered, parsed_texts, preds, scored
+from pactlane.plans.evaluation_queries import ARMS, contents, gold, layered, paired, parsed_texts, preds, scored
 from pactlane.plans.oracle_parts import LAYER, n, with_rows
 from pactlane.plans.registry import ORACLE, query
 from pactlane.plans.shared import written
@@ -316,7 +316,9 @@ def compatibility(spark, sf_dir):
 
 
 def bundle(spark, sf_dir):
-    return written(spark, sf_dir, "paired_inputs", lambda: PI.assemble(gold(spark, sf_dir), scored(spark, sf_dir).select("arm", "id", "raw", "schema_valid")))
+    """The assembled rows with their hashes; no query reads the texts beside them."""
+    build = lambda: PI.assemble_once(paired(spark, sf_dir), contents(spark, sf_dir)).drop("input_text", "gold", "raw")
+    return written(spark, sf_dir, "paired_inputs", build)
 
 
 CANONICAL_GOLD = """'{"confirmation_required":' || g_cf || ',"contract_version":"' || g_ve || '","language":"' || g_la || '","normalized_command":"' || g_cm || '","route":"' || g_rt
