@@ -104,6 +104,27 @@ def with_contents(rows: DataFrame, judged: DataFrame) -> DataFrame:
     return joined.select(*kept, *[c for c in judged.columns if c not in PAIR])
 
 
+def sourced(rows: DataFrame) -> DataFrame:
+    """Rows of ``paired`` with ``content``, a hash of the input text and both contract texts."""
+    source = F.coalesce(F.concat(F.lit("="), "input_text"), F.lit("-"))
+    return rows.withColumn("content", F.md5(F.concat_ws(":", *PAIR, source)))
+
+
+def source_contents(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``with_contents`` with one row for each ``content``, which stands as its ``id``."""
+    one = sourced(rows).groupBy("content").agg(*[F.min(c).alias(c) for c in (*PAIR, "input_text")])
+    named = one.select(F.lit("").alias("arm"), F.col("content").alias("id"), F.lit(0).cast("long").alias("ordinal"), F.lit("").alias("split"), "input_text", *PAIR)
+    joined = named.join(judged, PAIR)
+    return joined.drop(*PAIR)
+
+
+def beside_sources(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for ``source_contents`` (by ``id``) beside each row of that content."""
+    heads = [c for c in ("arm", "id", "ordinal", "split", "source_text") if c in found.columns]
+    kept = sourced(rows).select("arm", "id", "ordinal", "split", F.col("input_text").alias("source_text"), "content").select("content", *heads)
+    return kept.join(found.withColumnRenamed("id", "content").drop("arm", "ordinal", "split", "source_text"), "content").select(*found.columns)
+
+
 def scored_once(gold: DataFrame, preds: DataFrame, arms: list[str]) -> DataFrame:
     """``scored``, with equal texts parsed and equal pairs of texts judged once."""
     parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))

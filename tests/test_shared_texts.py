@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from pactlane.operators import evaluate as E
 from pactlane.operators import pairing as PI
+from pactlane.operators import provenance as P
 from pactlane.plans import evaluation_queries as Q
+from pactlane.plans import provenance_queries as R
 from tests.test_collapse import SF, _rows
 
 
@@ -14,3 +19,24 @@ def test_bundle_renders_gold_once_a_pair(spark, monkeypatch):
     once = PI.assemble_once(Q.paired(spark, SF), Q.contents(spark, SF))
     assert _rows(once) == _rows(plain)
     assert hashed[0].count() == Q.contents(spark, SF).count() < plain.count()
+
+
+def test_sources_are_diagnosed_and_audited_once(spark):
+    rows = Q.scored(spark, SF)
+    plain = P.diagnostics(P.slot_table(rows), P.default_policy())
+    assert _rows(R.diags(spark, SF)) == _rows(plain)
+    once = R.source_diags(spark, SF)
+    assert once.groupBy("id", "slot_path").count().where("count > 1").isEmpty() and once.count() < plain.count()
+    audits = P.audits(plain, P.slot_table(rows, "g"))
+    assert _rows(R.audited(spark, SF)) == _rows(audits)
+    show = lambda df: sorted((r["arm"], r["id"], r["slot_path"], r["primary_mechanism"]) for r in df.collect())
+    mismatched = P.collision_audit(R.source_audits(spark, SF).where("trusted AND gold_correct = false"))
+    ledger = P.mismatch_ledger(E.beside_sources(Q.paired(spark, SF), mismatched), R.condition())
+    assert show(ledger) == show(P.mismatch_ledger(audits, R.condition())) != []
+
+
+def test_a_leak_is_told_for_every_row_of_its_content(spark):
+    leaky = P.sidecars(R.source_diags(spark, SF).withColumn("slot_path", F.lit("gold_slots")))
+    plain = P.sidecars(R.diags(spark, SF).withColumn("slot_path", F.lit("gold_slots")))
+    got, want = E.beside_sources(Q.paired(spark, SF), P.sidecar_privacy(leaky)), P.sidecar_privacy(plain)
+    assert _rows(got) == _rows(want)
