@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactlane.functions import constants as C
 from pactlane.functions import text as T
 from pactlane.functions.contract import contract_valid, json_literal, parse_contract
-from pactlane.operators.common import beside, facts_beside, count_if, examples, grouping_counts, stack_columns, union_all
+from pactlane.operators.common import beside, count_if, examples, facts_beside, fits, grouping_counts, stack_columns, stored, union_all
 
 SLOT_JSON = "array<struct<k:string,j:string>>"
 
@@ -69,9 +69,12 @@ def canonical_search(c: Column) -> tuple[Column, Column]:
     return _public(c, "search", False) & (query != ""), query
 
 
+TARGET_BYTES, REJECTED_BYTES = 1000, 6000  # of a target with its canonical form, and with its rejected texts
+
+
 def base_rows(seeds: DataFrame, public_safe: bool = True) -> DataFrame:
-    """Seeds to original rows: canonical target and rebuilt provenance."""
-    df = parse_contract(seeds, "target", "c")
+    """Seeds to original rows: canonical target, rendered once for each target text, and rebuilt provenance."""
+    df = parse_contract(seeds.select("target").distinct(), "target", "c")
     c = F.col("c")
     if public_safe:
         applies, query = canonical_search(c)
@@ -82,9 +85,11 @@ def base_rows(seeds: DataFrame, public_safe: bool = True) -> DataFrame:
         target = F.when(F.coalesce(F.col("__a"), F.lit(False)), changed).otherwise(render_contract(c, slot_json(c)))
     else:
         target = render_contract(c, slot_json(c))
+    known = stored(df.select(F.col("target").alias("__given"), target.alias("__target")), "targets")
+    df = seeds.join(fits(known, TARGET_BYTES), F.col("target").eqNullSafe(F.col("__given")))
     mode = F.coalesce(F.element_at("provenance", "source_mode"), F.lit("sanitized_seed"))
     return df.select(
-        "id", "split", "ordinal", "input_text", target.alias("target"), "augmentations",
+        "id", "split", "ordinal", "input_text", F.col("__target").alias("target"), "augmentations",
         rebuilt(F.col("provenance"), F.col("id"), mode, public_safe, F.lit("original")).alias("provenance"),
     )
 
@@ -201,11 +206,14 @@ def rejections(c: Column, public_safe: Column) -> Column:
 
 
 def preference_pairs(rows: DataFrame) -> DataFrame:
-    """Original rows x applicable categories, produced by one explode (no join)."""
-    originals = rows.where(F.element_at("provenance", "augmentation") == "original")
-    df = parse_contract(originals, "target", "c")
+    """Original rows x applicable categories; the rejected texts are rendered once for each target."""
     safe = F.coalesce(F.element_at("provenance", "public_safe") == "true", F.lit(False))
-    df = df.select("id", "split", "ordinal", "input_text", "target", "provenance", F.posexplode(rejections(F.col("c"), safe)).alias("n", "r"))
+    originals = rows.where(F.element_at("provenance", "augmentation") == "original").withColumn("__safe", safe)
+    targets = parse_contract(originals.select("target", "__safe").distinct(), "target", "c")
+    known = targets.select(F.col("target").alias("__given"), F.col("__safe").alias("__kind"), rejections(F.col("c"), F.col("__safe")).alias("__r"))
+    same = F.col("target").eqNullSafe(F.col("__given")) & (F.col("__safe") == F.col("__kind"))
+    df = originals.join(fits(stored(known, "rejections"), REJECTED_BYTES), same)
+    df = df.select("id", "split", "ordinal", "input_text", "target", "provenance", F.posexplode("__r").alias("n", "r"))
     return df.select(
         F.concat_ws("-", "id", "r.category").alias("id"),
         "split",

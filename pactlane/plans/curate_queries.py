@@ -34,7 +34,7 @@ def rows(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return written(spark, sf_dir, "pairs", lambda: K.preference_pairs(rows(spark, sf_dir)))
+    return K.preference_pairs(rows(spark, sf_dir))  # many times the rows, so they are joined where they are read
 
 
 def chat(spark, sf_dir):
