@@ -9,7 +9,7 @@ from pactlane.operators import compare as P
 from pactlane.operators import evaluate as E
 from pactlane.operators import pairing as PI
 from pactlane.operators import projection as V
-from pactlane.plans.evaluation_queries import ARMS, contents, gold, layered, paired, parsed_texts, preds, scored
+from pactlane.plans.evaluation_queries import ARMS, contents, counted_layers, gold, layered, paired, parsed_texts, preds, scored
 from pactlane.plans.oracle_parts import LAYER, n, with_rows
 from pactlane.plans.registry import ORACLE, query
 from pactlane.plans.shared import written
@@ -99,7 +99,7 @@ def all_metrics(spark, sf_dir):
     """Every strict and layered metric; names that both evaluators use carry ``layered_`` for the second."""
     keys = ["arm", "split"]
     strict = E.tidy(E.strict_metrics(scored(spark, sf_dir), keys), keys, E.METRIC_COLUMNS)
-    lay = E.layered_metrics(layered(spark, sf_dir), keys)
+    lay = E.layered_metrics(counted_layers(spark, sf_dir, keys), keys)
     again = {c: f"layered_{c}" for c in E.LAYERED_COLUMNS if c in E.METRIC_COLUMNS}
     lay = lay.withColumnsRenamed(again)
     return strict.unionByName(E.tidy(lay, keys, [again.get(c, c) for c in E.LAYERED_COLUMNS]))
