@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlane.functions import constants as C
-from pactlane.operators.common import count_if, first_k, flag, grouping_counts, places, rate
+from pactlane.operators.common import copies, count_if, first_k, flag, grouping_counts, places, rate, stored
 
 # ---- counts that must add up ------------------------------------------------------------
 
@@ -38,17 +38,21 @@ def case_design(records: DataFrame, values: int = 3, themes: int = 4) -> DataFra
     and wrong values, a sketch of the fields that drift, and the theme that the family falls to when the
     families are dealt out in turn.
 
-    records: arm, source_id, drift_bucket, field_path, id, gold_value, wrong_value.
+    records: arm, source_id, drift_bucket, field_path, gold_value, wrong_value; a record may stand for several
+    (``copies``). Equal records are counted once, and all else follows from the counts.
     """
     keys = ["arm", "source_id", "drift_bucket"]
+    equal = records.groupBy(*keys, "field_path", "gold_value", "wrong_value").agg(F.sum(copies(records)).cast("bigint").alias("copies"))
+    records = stored(equal, "cases")
+    many = F.sum("copies").alias("n")
 
     def listed(column: str, out: str) -> DataFrame:
-        distinct = records.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+        distinct = records.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(many)
         top = first_k(distinct, keys, [F.desc("n"), F.col(column)], values)
         lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", column))), lambda e: e[column])
         return top.groupBy(*keys).agg(F.array_join(lines, " | ").alias(out))
 
-    fields = records.groupBy(*keys, "field_path").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    fields = records.groupBy(*keys, "field_path").agg(many)
     shown = F.concat(F.col("field_path"), F.lit(" x"), F.col("n"))
     groups = fields.groupBy(*keys).agg(F.sum("n").alias("residuals"), F.array_join(F.array_sort(F.collect_list(shown)), ", ").alias("drift_sketch"))
     families = places(records.select("source_id").distinct(), ["source_id"]).select("source_id", (F.col("place") % themes).cast("int").alias("theme"))

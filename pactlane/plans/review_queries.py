@@ -10,11 +10,13 @@ from pactlane.operators import evaluate as E
 from pactlane.operators import projection as V
 from pactlane.operators import provenance as P
 from pactlane.operators import review as R
+from pactlane.operators.common import fits
 from pactlane.plans.compare_queries import CANONICAL_GOLD, PROJ, _tall, recs
-from pactlane.plans.evaluation_queries import RECORDS, RESIDUALS, fully, gold, layered, preds, records, scored
+from pactlane.plans.evaluation_queries import PAIR_BYTES, RECORDS, RESIDUALS, contents, fully, gold, layered, paired, preds, records, scored
 from pactlane.plans.oracle_parts import LAYER, n, with_rows
 from pactlane.plans.provenance_queries import AUDIT, audited, diags
 from pactlane.plans.registry import ORACLE, query
+from pactlane.plans.shared import written
 
 # ---- counts that must add up ------------------------------------------------------------
 
@@ -47,6 +49,13 @@ def residual_reconciliation(spark, sf_dir):
 VALUE = "CASE field_path WHEN 'normalized_command' THEN {cm} WHEN 'route' THEN {rt} WHEN 'task_type' THEN {tt} END"
 
 
+def drift_values(spark, sf_dir):
+    """Strict mismatches with both values, once per distinct pair of texts."""
+    value = lambda s: F.expr(VALUE.format(cm=f"{s}.normalized_command", rt=f"{s}.route", tt=f"{s}.task_type"))
+    found = lambda: D.strict_drifts(contents(spark, sf_dir).select(*E.PAIR, "g", "p", "schema_valid"))
+    return written(spark, sf_dir, "drift_values", lambda: found().select(*E.PAIR, "drift_bucket", "field_path", value("g").alias("gold_value"), value("p").alias("wrong_value")))
+
+
 @query(
     "case_design",
     with_rows(
@@ -62,10 +71,8 @@ rv AS (SELECT r.*, {VALUE.format(cm="s.g_cm", rt="s.g_rt", tt="s.g_tt")} AS gold
 )
 def case_design(spark, sf_dir):
     """Case-design groups with value lists, a drift sketch and a theme."""
-    sides = scored(spark, sf_dir).select("arm", "id", *[F.struct(*[F.col(f"{s}.{c}").alias(k) for k, c in (("cm", "normalized_command"), ("rt", "route"), ("tt", "task_type"))]).alias(s) for s in "gp"])
-    rows = records(spark, sf_dir).join(sides, ["arm", "id"])
-    value = lambda s: F.expr(VALUE.format(cm=f"{s}.cm", rt=f"{s}.rt", tt=f"{s}.tt"))
-    return R.case_design(rows.select("arm", "id", "source_id", "drift_bucket", "field_path", value("g").alias("gold_value"), value("p").alias("wrong_value")))
+    rows = E.counted(paired(spark, sf_dir), ["arm", "source_id"])
+    return R.case_design(E.with_contents(rows, fits(drift_values(spark, sf_dir), PAIR_BYTES)))
 
 
 # ---- disjointness ------------------------------------------------------------------------------

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pactlane.operators import evaluate as E
+from pactlane.operators import review as R
 from pactlane.plans import evaluation_queries as Q
+from pactlane.plans import review_queries as V
 from tests.test_collapse import SF, _rows
 
 BY = ["arm", "split"]
@@ -27,3 +29,15 @@ def test_a_row_may_stand_for_several(spark):
     marked = rows.withColumn("copies", F.when(F.col("ordinal") % 3 == 0, 2).otherwise(1))
     assert _rows(E.micro_scores(marked, BY)) == _rows(E.micro_scores(twice, BY))
     assert _rows(E.layered_metrics(marked, BY)) == _rows(E.layered_metrics(twice, BY))
+
+
+def test_cases_are_designed_from_counted_pairs(spark, monkeypatch):
+    plain = Q.records(spark, SF).join(Q.scored(spark, SF).select("arm", "id", "g", "p"), ["arm", "id"])
+    value = lambda s: F.expr(V.VALUE.format(cm=f"{s}.normalized_command", rt=f"{s}.route", tt=f"{s}.task_type"))
+    plain = plain.select("arm", "source_id", "drift_bucket", "field_path", value("g").alias("gold_value"), value("p").alias("wrong_value"))
+    seen = []
+    monkeypatch.setattr(R, "case_design", lambda df, real=R.case_design: seen.append(df) or real(df))
+    assert _rows(V.case_design(spark, SF)) == _rows(R.case_design(plain))
+    held = seen[0].groupBy("arm", "source_id", "drift_bucket", "field_path", "gold_value", "wrong_value").agg(F.sum("copies").alias("n"))
+    assert _rows(held) == _rows(plain.groupBy(*plain.columns).agg(F.count("*").alias("n")))
+    assert seen[0].count() < plain.count()
