@@ -117,7 +117,7 @@ def sourced(rows: DataFrame) -> DataFrame:
 
 def source_contents(rows: DataFrame, judged: DataFrame) -> DataFrame:
     """``with_contents`` with one row for each ``content``, which stands as its ``id``."""
-    one = sourced(rows).groupBy("content").agg(*[F.min(c).alias(c) for c in (*PAIR, "input_text")])
+    one = sourced(rows.select(*PAIR, "input_text").distinct())
     named = one.select(F.lit("").alias("arm"), F.col("content").alias("id"), F.lit(0).cast("long").alias("ordinal"), F.lit("").alias("split"), "input_text", *PAIR)
     joined = named.join(judged, PAIR)
     return joined.drop(*PAIR)
