@@ -148,11 +148,11 @@ def _whole(c: str) -> str:
  CASE WHEN whole THEN t WHEN kind = 1 AND {_whole("regexp_replace(raw, ' extra$', '')")} AND raw LIKE '{{%' THEN regexp_replace(raw, ' extra$', '') WHEN kind = 1 AND j IS NULL AND starts_with(raw, 'Answer: ') AND {_whole("substr(raw, 9)")} THEN substr(raw, 9)
   WHEN kind = 4 THEN '{{"text":"a }} and \" {{ b","n":{{}}}}' WHEN {_whole("cut")} THEN cut END AS balanced FROM (
  SELECT *, {_whole("t")} AS whole, CASE WHEN t LIKE '%{{%}}%' THEN substr(t, instr(t, '{{'), length(t) - instr(reverse(t), '}}') + 2 - instr(t, '{{')) END AS cut FROM (
- SELECT arm, id, raw, j, ordinal % 7 AS kind, trim({DAMAGED_SQL}, ' ' || chr(10)) AS t FROM scored WHERE raw IS NOT NULL AND ordinal % 7 NOT IN (3)))"""
+ SELECT arm, id, raw, j, ordinal % 7 AS kind, trim({DAMAGED_SQL}, ' ' || chr(10)) AS t FROM scored WHERE raw IS NOT NULL))"""
     ),
 )
 def object_payloads(spark, sf_dir):
     """Objects taken out of damaged outputs: strictly, by outer braces and by balanced braces."""
-    rows = scored(spark, sf_dir).where("raw IS NOT NULL AND ordinal % 7 <> 3").select("arm", "id", F.expr(DAMAGED).alias("t"))
+    rows = scored(spark, sf_dir).where("raw IS NOT NULL").select("arm", "id", F.expr(DAMAGED).alias("t"))
     value = lambda payload: X.once(payload, lambda p: F.when(is_one_json_value(p), p))
     return rows.select("arm", "id", *[value(f(F.col("t"))).alias(n) for n, f in (("strict", X.strict_payload), ("fragment", X.fragment_payload), ("balanced", X.balanced_payload))])
