@@ -58,7 +58,7 @@ def artifact_failures(spark, sf_dir):
     p = p.withColumn("chosen", F.when(F.expr(SHOWN), F.lit("{}")).otherwise(F.col("chosen")))
     p = p.withColumn("rejection_reason", F.when(F.expr(UNKNOWN), F.lit("other")).otherwise(F.col("rejection_reason")))
     manifest = spark.createDataFrame([("m", -1, -1)], "manifest_id string, sft_rows long, preference_pairs long")
-    return K.artifact_failures(broken_rows(spark, sf_dir), p, manifest).groupBy("category", "message").agg(F.count("*").alias("failures"))
+    return K.counted_failures(broken_rows(spark, sf_dir), p, manifest)
 
 
 @query("preference_export", HEAD + "," + PAIRS.strip() + f" SELECT id, 'system,user' AS roles, sha256('{PROMPT}' || chr(10) || input_text) AS prompt_sha256, sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256, rejection_reason FROM pairs")
