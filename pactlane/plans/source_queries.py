@@ -99,7 +99,8 @@ def hook_stream(spark, sf_dir):
     """The sidecar as a stream, its last batch run twice; the outcomes are those of one batch run."""
     source, out, state = (folder(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     rows = scored(spark, sf_dir).select("arm", "id", F.col("ordinal").cast("long").alias("ordinal"), "split", "input_text", "raw")
-    rows.unionByName(rows.where(AGAIN)).repartition(6, "ordinal").write.parquet(source)
+    sent = rows.withColumn("__times", F.explode(F.expr(f"sequence(1, CASE WHEN {AGAIN} THEN 2 ELSE 1 END)"))).drop("__times")
+    sent.repartition(6, "ordinal").write.parquet(source)
     arriving = lambda: spark.readStream.schema(PREDICTION_SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
     start_sidecar_stream(arriving(), P.default_policy(spark), out, state).awaitTermination()
     forget_last_commit(spark, state)

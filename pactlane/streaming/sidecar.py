@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlane.functions.contract import contract_valid, is_one_json_value, parse_contract
-from pactlane.operators.common import count_if
+from pactlane.operators.common import count_if, fits, stored
 from pactlane.operators.provenance import diagnostics, sidecars, slot_table
 
 PREDICTION_SCHEMA = "arm string, id string, ordinal long, split string, input_text string, raw string"
@@ -42,19 +42,24 @@ def outcomes(preds: DataFrame, policy: DataFrame, enabled: bool = True, policy_o
     marks = [c.isNull() for c in texts]
     keys = {"key_a": F.xxhash64(*marks, *texts), "key_b": F.xxhash64(F.lit("pair"), *marks, *texts)}
     parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = preds.select("input_text", "raw").distinct().withColumns(keys).repartition(parts, *keys)
+    # every step is written, so that none is run again by each frame that reads it
+    pairs = stored(preds.select("input_text", "raw").distinct().withColumns(keys), "hook-pairs").repartition(parts, *keys)
     parsed = contract_valid(parse_contract(pairs, "raw", "p"), "p")
     status, code = hook_status(enabled, policy_ok)
-    parsed = parsed.withColumn("hook_status", status).withColumn("error_code", code)
+    parsed = stored(parsed.withColumn("hook_status", status).withColumn("error_code", code), "hook-parsed")
     usable = parsed.where("hook_status = 'COMPLETED'").withColumns(
         {"id": F.struct(*keys), "arm": F.lit(""), "split": F.lit(""), "ordinal": F.lit(0).cast("long")}
     )
     cars = sidecars(diagnostics(slot_table(usable), policy)).select("id.*", "trusted_count", "candidate_count", "slot_diagnostics")
     found = parsed.select(*keys, F.sha2("input_text", 256).alias("input_hash"), "hook_status", "error_code").join(cars, [*keys], "left")
+    found = fits(stored(found, "hook-found"), OUTCOME_BYTES)
     rows = preds.select("arm", "id", "ordinal", "split", *[c.alias(k) for k, c in keys.items()]).join(found, [*keys])
     return rows.drop(*keys).na.fill(0, ["trusted_count", "candidate_count"])
 
 
+OUTCOME_BYTES = 600  # of an outcome with its diagnostics
+
+
 def outcome_summary(rows: DataFrame) -> DataFrame:
     """Counts by status and error code."""
     return rows.groupBy("arm", "hook_status", F.coalesce("error_code", F.lit("none")).alias("error_code")).agg(

@@ -28,3 +28,11 @@ def test_outcomes_share_one_verdict_among_equal_predictions(spark, monkeypatch):
     assert parsed == [batch.select("input_text", "raw").distinct().count()]
     got = {r.id: (r.hook_status, r.error_code, r.trusted_count, r.candidate_count) for r in out.where("arm = 'control'").collect()}
     assert all(got[k] == got[f"{k}-again"] for k in got if not k.endswith("-again"))
+
+
+def test_outcomes_parse_nothing_again_when_they_are_read(spark):
+    batch = E.scored(inputs.gold_rows(spark, SF), inputs.predictions(spark, SF), ARMS).select("arm", "id", "ordinal", "split", "input_text", "raw").cache()
+    out = S.outcomes(batch, V.default_policy(spark)).select("arm", "id", "hook_status", "trusted_count", "input_hash")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert "from_json" not in plan and "sha2" not in plan
+    assert out.count() == batch.count()
